@@ -91,6 +91,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(reps, "fp").select("id", "fp", "component")
 
 
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows whose id is the smallest of their component, or null, with all their columns."""
+    found = near_components(df, id_col, text_col, width=width, radius=radius)
+    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__gone")).distinct()
+    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+
+
 def hex64(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
