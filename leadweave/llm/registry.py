@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "line_dedup", "packing", "simhash", "url_filter", "byte_bpe", "piecewise_hash", "language_id", "lm_scoring")
+MODULES = ("exact_dedup", "line_dedup", "packing", "simhash", "url_filter", "byte_bpe", "piecewise_hash", "language_id", "lm_scoring", "chat_format")
 
 
 def queries() -> dict:
