@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ REJECT_Z = 6.0
 ALPHABET = 4096
 UND = "und"
 START, END = "\x02", "\x03"
-#: Tokens kept by a worker: two generations of this many.
-CACHE_TOKENS = 300_000
+#: Tokens kept by a worker, at most, before it starts anew.
+CACHE_TOKENS = 600_000
+#: Tokens looked up at a time.
+BATCH_TOKENS = 200_000
 
 
 def letter_runs(token: bytes) -> list[str]:
@@ -65,7 +68,7 @@ def end_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     for k in range(1, order + 1):
         h = np.zeros(len(points), np.uint64)
         for back in range(k - 1, -1, -1):
-            h[back:] = h[back:] * np.uint64(0x9E3779B97F4A7C15) + step[: len(step) - back]
+            h[back:] = h[back:] * np.uint64(0x9E3779B97F4A7C15) + step[: max(0, len(step) - back)]
         out.append(_mix(h))
     return out
 
@@ -174,7 +177,7 @@ class CharModels:
 
 
 class Scorer:
-    """Sums of token scores over whole texts; tokens met lately are remembered."""
+    """Sums of token scores over whole texts, a batch of them at a time; tokens met lately are remembered."""
 
     def __init__(self, models: CharModels):
         self.models = models
@@ -182,11 +185,9 @@ class Scorer:
 
     def _reset(self) -> None:
         self.rows: dict[bytes, int] = {}
-        self.scores = np.zeros((1024, len(self.models.langs) + 1), np.float32)
+        self.scores = np.zeros((1 << 14, len(self.models.langs) + 1), np.float32)
 
     def _learn(self, tokens: list[bytes]) -> None:
-        if len(self.rows) + len(tokens) > CACHE_TOKENS and self.rows:
-            self._reset()
         n = len(self.rows)
         while len(self.scores) < n + len(tokens):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
@@ -195,36 +196,62 @@ class Scorer:
             self.scores[n + lo : n + lo + len(some)] = self.models.score_tokens(some)
         self.rows.update(zip(tokens, range(n, n + len(tokens))))
 
-    def text(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        total = np.zeros(len(self.models.langs) + 1)
-        for lo in range(0, len(words), CACHE_TOKENS // 2):
-            part = words[lo : lo + CACHE_TOKENS // 2]
-            unknown = set(part).difference(self.rows)
-            if unknown:
-                before = len(self.rows)
-                self._learn(list(unknown))
-                if len(self.rows) < before + len(unknown):  # the cache was emptied
-                    self._learn(list(set(part).difference(self.rows)))
-            at = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
-            total += self.scores[at].sum(axis=0, dtype=np.float64)
-        return total
-
-    def judge(self, text: bytes | None) -> tuple[str, float, float | None, bool]:
-        """(language, confidence from 0 to 1, bits per character, rejected)."""
-        m = self.models
-        total = self.text(text)
-        n = total[-1]
-        if not n or not m.langs:
-            return UND, 0.0, None, True
-        entropy = -total[:-1] / n
-        best = int(np.argmin(entropy))
-        weight = np.exp2(np.maximum(-(entropy - entropy[best]) * min(n, 64), -1000))
-        rejected = False
-        if m.reject is not None:
-            mean, between, within, limit = m.reject[best]
-            rejected = bool(entropy[best] - mean > limit * math.sqrt(between**2 + within**2 / n))
-        return m.langs[best], float(1 / weight.sum()), float(entropy[best]), rejected
+    def _sums(self, words: list[list[bytes]]) -> np.ndarray:
+        unknown = set().union(*words).difference(self.rows)
+        if len(self.rows) + len(unknown) > CACHE_TOKENS and self.rows:
+            self._reset()
+            unknown = set().union(*words)
+        self._learn(list(unknown))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+        out = np.zeros((len(words), self.scores.shape[1]))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(self.scores[at], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), axis=0, dtype=np.float64)
+        return out
+
+    def texts(self, texts: list[bytes | None]) -> np.ndarray:
+        """(text, language + 1): log2 probability of each whole text in each language, and its number of characters."""
+        out = np.zeros((len(texts), self.scores.shape[1]))
+        held: list[list[bytes]] = []
+        at: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                np.add.at(out, at, self._sums(held))
+            held.clear(), at.clear()
+            size = 0
+
+        for i, t in enumerate(texts):
+            words = (t or b"").lower().split()
+            for lo in range(0, len(words), BATCH_TOKENS):
+                held.append(words[lo : lo + BATCH_TOKENS])
+                at.append(i)
+                size += len(held[-1])
+                if size >= BATCH_TOKENS:
+                    flush()
+        flush()
+        return out
+
+    def judge(self, texts: list[bytes | None]) -> list[tuple[str, float, float | None, bool]]:
+        """(language, confidence from 0 to 1, bits per character, rejected) of each text."""
+        m, out = self.models, []
+        for total in self.texts(texts):
+            n = total[-1]
+            if not n or not m.langs:
+                out.append((UND, 0.0, None, True))
+                continue
+            entropy = -total[:-1] / n
+            best = int(np.argmin(entropy))
+            weight = np.exp2(np.maximum(-(entropy - entropy[best]) * min(n, 64), -1000))
+            rejected = False
+            if m.reject is not None:
+                mean, between, within, limit = m.reject[best]
+                rejected = bool(entropy[best] - mean > limit * math.sqrt(between**2 + within**2 / n))
+            out.append((m.langs[best], float(1 / weight.sum()), float(entropy[best]), rejected))
+        return out
 
 
 def fit(labelled: DataFrame, *, order: int = ORDER, train_chars: int = TRAIN_CHARS) -> CharModels:
@@ -267,8 +294,7 @@ def fit(labelled: DataFrame, *, order: int = ORDER, train_chars: int = TRAIN_CHA
         scorer = Scorer(shipped.value)
         for b in batches:
             out = {"lang": [], "bits": [], "n": []}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total = scorer.text(text)
+            for lang, total in zip(b.column(0).to_pylist(), scorer.texts(b.column(1).to_pylist())):
                 if total[-1] and lang in scorer.models.langs:
                     for k, v in zip(out, (lang, -total[scorer.models.langs.index(lang)] / total[-1], int(total[-1]))):
                         out[k].append(v)
@@ -315,7 +341,7 @@ def identify(df: DataFrame, models: CharModels, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
         for b in batches:
-            lang, score, bits, rejected = zip(*(scorer.judge(t.as_py()) for t in b.column(1))) if b.num_rows else ((), (), (), ())
+            lang, score, bits, rejected = zip(*scorer.judge(b.column(1).to_pylist())) if b.num_rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_()), *b.columns[2:]], [f.name for f in fields])
 
     return df.select(*inputs).mapInArrow(run, T.StructType(fields))
