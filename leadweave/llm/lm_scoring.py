@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from leadweave.llm._shared import arrow_limits, crc_mod, parts, table, write_shared
 
 #: Bytes of text of a block, at most (a single longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Remainders of crc32(id) mod 7: never trained on; trained on, but held out while the weights are learned.
 TEST, TUNE, FOLDS = 2, 3, 7
 BUCKETS = 24
@@ -55,6 +55,17 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), dtype) if data else np.zeros(0, dtype)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys: differences, their bytes by significance, so that the empty high ones compress away."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return _pack(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    planes = _unpack(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     h = (left ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + right
     h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
@@ -150,7 +161,7 @@ def _send(ranges: int):
                 weight = np.repeat(folds != TEST, lengths).astype(np.float64)
                 for kind, (keys, n) in enumerate(zip(grams.keys, grams.counts(weight)), 1):
                     cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-                    out = [(r, row["block"], kind, row["tune"], keys[lo:hi].tobytes(), _pack(n[lo:hi].astype(np.uint32))) for r, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+                    out = [(r, row["block"], kind, row["tune"], _pack_keys(keys[lo:hi]), _pack(n[lo:hi].astype(np.uint32))) for r, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
                     for lo in range(0, len(out), 64):
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[lo : lo + 64]), (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], ["range", "block", "kind", "tune", "keys", "n"])
 
@@ -193,7 +204,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if asked:
                     yield from typed(reply())
                 at, asked = (r, kind), []
-            asked.append((block, tune, np.frombuffer(keys, np.uint64), _unpack(n, np.uint32)))
+            asked.append((block, tune, _unpack_keys(keys), _unpack(n, np.uint32)))
     if asked:
         yield from typed(reply())
 
@@ -303,7 +314,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     hash."""
     spark = df.sparkSession
     arrow_limits(spark)
-    ranges = parts(spark)
+    ranges = 2 * parts(spark)
     id_type = df.schema[id_col].dataType
     docs = df.select(F.col(f"`{id_col}`").alias("id"), crc_mod(F.col(f"`{id_col}`"), FOLDS).cast("int").alias("fold"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     probe = docs.select("id").limit(0).toArrow().schema.field("id").type
