@@ -91,10 +91,86 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(reps, "fp").select("id", "fp", "component")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows whose id is the smallest of their component, or null, with all their columns."""
-    found = near_components(df, id_col, text_col, width=width, radius=radius)
-    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__gone")).distinct()
+#: Similarity search: independent fingerprints of SIGN_BITS bits each, over the distinct words of a text.
+SIGNS, SIGN_BITS = 8, 32
+#: Smallest shingle hashes kept of a text: similarity is exact up to so many shingles in the union, estimated beyond.
+BOTTOM = 256
+
+
+def signature(text: bytes | None, width: int = 5) -> tuple[list[int], bytes]:
+    """SIGNS fingerprints of the distinct words as signed ints, and the BOTTOM smallest shingle hashes (upper halves, sorted).
+
+    Words, not shingles, are signed: where a few words differ, few features do, and fingerprints stay within a small radius."""
+    words = set((text or b"").lower().split())
+    if not words:
+        return [0] * SIGNS, b""
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    ones = np.zeros(64 * (SIGNS // 2), np.int64)
+    for lo in range(0, len(h), BLOCK):
+        for k in range(SIGNS // 2):  # each 64-bit hash gives two fingerprints' bits
+            x = (h[lo : lo + BLOCK] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+            bits = np.unpackbits((x ^ x >> np.uint64(32)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int64)
+    signs = np.packbits(2 * ones > len(h), bitorder="little").view("<i4").tolist()
+    least = np.zeros(0, np.uint32)
+    for block in shingle_hashes(text, width):
+        least = np.unique(np.concatenate([least, (block >> np.uint64(32)).astype(np.uint32)]))[:BOTTOM]
+    return signs, least.astype("<u4").tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets by their smallest hashes; no shingles: 0."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if len(x) == BOTTOM or len(y) == BOTTOM:
+        union = union[:BOTTOM]
+    return float(np.isin(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True).sum() / len(union)) if len(union) else 0.0
+
+
+def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Links (a, b) between ids whose texts' shingle sets have a similarity of ``least`` or more.
+
+    Candidates meet by ball hashing on each of the SIGNS fingerprints: texts of one fingerprint are compared with the one of
+    smallest id, and the smallest ids of fingerprints that share a variant with each other, in a chain. So candidates are
+    linear in the documents, however large a group of near copies is. Each is verified. Rows with null ids or without a
+    word have no links."""
+    spark = df.sparkSession
+    arrow_limits(spark)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [signature(t.as_py(), width) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in made], pa.list_(pa.int32())), pa.array([m for _, m in made], pa.binary())], ["id", "signs", "bottom"])
+
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("signs", T.ArrayType(T.IntegerType())), T.StructField("bottom", T.BinaryType())])
+    texts = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    signed = write_shared(texts.mapInArrow(sign, schema).filter(F.octet_length("bottom") > 0), "signs")
+    low = F.lit((1 << SIGN_BITS) - 1)
+    # which fingerprint it is stands above its bits: one long for both
+    members = write_shared(signed.select("id", F.posexplode("signs").alias("k", "fp")).select("id", F.shiftleft(F.col("k").cast("long"), SIGN_BITS).bitwiseOR(F.col("fp").cast("long").bitwiseAND(low)).alias("key")), "sign-members")
+    reps = write_shared(members.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "sign-reps")
+    stars = members.join(reps.filter("n > 1").select("key", "rep"), "key").filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(SIGN_BITS))]])
+    meet = reps.select("rep", F.col("key"), F.explode(masks).alias("mask")).select(F.col("key").bitwiseXOR(F.col("mask")).alias("variant"), "rep").repartition(parts(spark), "variant")
+    chains = meet.select(F.lag("rep").over(Window.partitionBy("variant").orderBy("rep")).alias("a"), F.col("rep").alias("b")).filter(F.col("a") != F.col("b"))
+    pairs = write_shared(stars.unionByName(chains).distinct(), "sign-pairs")
+    left, right = (signed.select(F.col("id").alias(c), F.col("bottom").alias(f"bottom_{c}")) for c in "ab")
+    both = write_shared(pairs.join(left, "a"), "sign-left").join(right, "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    link = T.StructType([T.StructField(c, df.schema[id_col].dataType) for c in "ab"])
+    return both.select("a", "b", "bottom_a", "bottom_b").mapInArrow(verify, link)
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows whose id is the smallest of its group of near copies, with all their columns; groups are closed over links of
+    ``least`` similarity on shingles of ``width`` words. Rows with null ids or without a word stay, repeated rows repeat."""
+    gone = connected_components(similar_links(df, id_col, text_col, width=width, least=least)).filter("node <> root").select(F.col("node").alias("__gone"))
     return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
 
 

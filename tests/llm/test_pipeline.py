@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import corpus_pipeline as P
 from leadweave.llm.language_id import fit_documents, identify
-from tests.llm.test_simhash import brute_fp, brute_roots
+from tests.llm.test_simhash import brute_roots, shingles
 
 
 def test_stages(spark, docs):
@@ -21,12 +21,18 @@ def test_stages(spark, docs):
         key = (rows[i].text or "").encode().lower()
         best[key] = max(i, best.get(key, i))
     assert kept[1] == set(best.values())
-    fps = {i: brute_fp(rows[i].text) for i in kept[1]}
-    root = brute_roots(sorted(fps), [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
-    groups = defaultdict(list)
-    for i, r in root.items():
-        groups[r].append(i)
-    assert kept[2] == {min(g) for g in groups.values()}
+    sets = {i: shingles(rows[i].text) for i in kept[1]}
+
+    def smallest(least):
+        links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0]
+        groups = defaultdict(list)
+        for i, r in brute_roots(sorted(sets), links).items():
+            groups[r].append(i)
+        return {min(g) for g in groups.values()}
+
+    # similarities of texts of over 256 shingles are estimates
+    assert smallest(0.72) <= kept[2] <= smallest(0.88)
+    assert len(kept[2] ^ smallest(0.8)) <= 3
     packed = P.STAGES[-1][1](spark, got, "").collect()
     assert {r.doc_id for r in packed} == kept[2]
 

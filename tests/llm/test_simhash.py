@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from leadweave.llm.components import connected_components
-from leadweave.llm.simhash import ball_links, near_components, simhash
+from leadweave.llm.simhash import ball_links, drop_near_copies, near_components, signature, similar_links, similarity, simhash
 
 
 def brute_fp(text):
@@ -83,3 +83,53 @@ def test_components(spark, kind):
 
 def test_empty(empty):
     assert near_components(empty).collect() == []
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies(spark, docs):
+    """Planted copies with up to 2 words in 100 changed go, all others stay."""
+    import random
+
+    rng = random.Random(11)
+    base = [(r.doc_id, r.text) for r in docs.collect() if len(r.text.split()) >= 60]
+    planted = []
+    for k, (i, t) in enumerate(base):
+        for c in range(1 + k % 3):
+            words = t.split()
+            for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                words[at] = f"other{at}"
+            planted.append((10_000 + 10 * i + c, " ".join(words)))
+    near = [(i, t) for i, t in planted if len(shingles(t) & shingles(dict(base)[(i - 10_000) // 10])) >= 0.83 * len(shingles(t) | shingles(dict(base)[(i - 10_000) // 10]))]
+    assert len(near) > 100
+    df = spark.createDataFrame(base + near, "doc_id long, text string")
+    links = {(r.a, r.b) for r in similar_links(df).collect()}
+    texts = dict(base + near)
+    for a, b in links:
+        x, y = shingles(texts[a]), shingles(texts[b])
+        assert len(x & y) / len(x | y) >= (0.8 if max(len(x), len(y)) <= 200 else 0.7)
+    kept = {r.doc_id for r in drop_near_copies(df).collect()}
+    missed = [i for i, _ in near if i in kept]
+    assert len(missed) <= 0.02 * len(near)
+    alone = [i for i, t in base if not any(j != i and len(shingles(t) & shingles(u)) >= 0.7 * len(shingles(t) | shingles(u)) for j, u in base)]
+    assert set(alone) <= kept
+
+
+def test_similarity_is_exact_for_small_sets():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(50):
+        a, b = (" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 120))) for _ in range(2))
+        x, y = shingles(a), shingles(b)
+        assert similarity(signature(a.encode())[1], signature(b.encode())[1]) == pytest.approx(len(x & y) / len(x | y))
+    assert signature(None) == signature(b" \t") == ([0] * 8, b"") and similarity(b"", b"") == 0
+
+
+def test_near_copies_of_odd_rows(odd, empty):
+    kept = drop_near_copies(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id IS NULL").count() == 2 and kept.filter("doc_id = 2").count() == 0
+    assert drop_near_copies(empty).collect() == []
