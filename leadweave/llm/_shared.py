@@ -1,12 +1,17 @@
-"""Session helpers of the corpus operators: shared tables, Arrow batch limits, column checks."""
+"""Session helpers of the corpus operators: Arrow batch limits, tables, columns."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadweave.plans.shared import write_shared
+
+__all__ = ["arrow_limits", "crc_mod", "lower_ascii", "parts", "table", "worker_cache", "write_shared"]
+
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
 ARROW_BATCH_BYTES = 8 << 20
 ARROW_BATCH_ROWS = 2000
@@ -15,28 +20,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_leadweave"
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leadweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_CACHE: dict[tuple, Any] = {}
 
 
-def drop_shared(spark: SparkSession) -> None:
-    """Delete this application's shared tables, once every result that reads them has been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leadweave/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks: one thing at a time, so that operators which follow each other do not add up."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
 
 
 def arrow_limits(spark: SparkSession) -> None:

@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.llm._shared import arrow_limits, table
+from leadweave.llm._shared import arrow_limits, table, worker_cache
 
 #: Bytes of the longest piece that is merged in a batch, and cells of a batch's trees.
 BATCH_WIDTH = 256
@@ -241,10 +240,9 @@ class TextEncoder:
         return [b"".join(map(self.young.__getitem__, pieces)) for pieces in split]
 
 
-@lru_cache(maxsize=2)
 def text_encoder(path: str, pattern: str) -> TextEncoder:
     """One for each worker process, kept between tasks."""
-    return TextEncoder(path, pattern)
+    return worker_cache(("bytes", path, pattern), lambda: TextEncoder(path, pattern))
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str | None = None, pattern: str | None = None, digests: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ the sample, whatever the size of the corpus, and so is what is collected and bro
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.llm._shared import arrow_limits, crc_mod, table
+from leadweave.llm._shared import arrow_limits, crc_mod, table, worker_cache
 
 ORDER = 5
 #: Characters of labelled text per language that counts are taken from, and share of the sampled rows kept for calibration.
@@ -39,7 +40,7 @@ ALPHABET = 4096
 UND = "und"
 START, END = "\x02", "\x03"
 #: Tokens kept by a worker, at most, before it starts anew.
-CACHE_TOKENS = 600_000
+CACHE_TOKENS = 300_000
 #: Tokens looked up at a time.
 BATCH_TOKENS = 200_000
 
@@ -338,8 +339,10 @@ def identify(df: DataFrame, models: CharModels, id_col: str = "doc_id", text_col
         inputs.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
         fields.append(T.StructField("row", df.select(inputs[-1]).schema[0].dataType))
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = worker_cache(("language", name), lambda: Scorer(shipped.value))
         for b in batches:
             lang, score, bits, rejected = zip(*scorer.judge(b.column(1).to_pylist())) if b.num_rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_()), *b.columns[2:]], [f.name for f in fields])

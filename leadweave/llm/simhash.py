@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadweave.llm._shared import arrow_limits, parts, table, write_shared
-from leadweave.llm.components import connected_components
+from leadweave.operators.components import connected_components
 
 SEED = 42
 #: Shingles hashed at a time: bounds the memory that a long text takes.

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leadweave.llm.components import connected_components
+from leadweave.operators.components import connected_components
 from leadweave.llm.simhash import ball_links, drop_near_copies, near_components, signature, similar_links, similarity, simhash
 
 
