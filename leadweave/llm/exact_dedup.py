@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.llm._shared import LOWER, UPPER, arrow_limits, parts, table, write_shared
+from leadweave.llm._shared import LOWER, UPPER, arrow_limits, table, write_shared
 
 #: Bytes of content that one open-addressing table may hold.
 BUCKET_BYTES = 16 << 20
@@ -104,13 +104,14 @@ def _fold(budget: int):
                 "rep": pa.array([base + seq + e for e in entry], pa.int64()),
                 "top": pa.array(local, pa.bool_()),
                 "hash": pa.array([_signed(found.hashes[e]) for e in entry], pa.int64()),
-                "content": pa.array([found.contents[e] if t else None for e, t in zip(entry, local)], pa.binary()),
                 "n": pa.array([count[e] for e in entry], pa.int64()),
             }
             if rows.num_columns > 2:
-                # only rows that may stay go on with all their columns
+                # rows that may stay go on with all their columns, the content among them
                 keep = pa.array([i if t else None for i, t in enumerate(local)], pa.int64())
                 cols["row"] = rows.column(2).combine_chunks().take(keep)
+            else:
+                cols["content"] = pa.array([found.contents[e] if t else None for e, t in zip(entry, local)], pa.binary())
             seq += len(found)
             yield from pa.table(cols).to_batches(max_chunksize=2000)
 
@@ -163,7 +164,7 @@ def _leaf_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != leaf:
                 yield from verdicts()
                 leaf, found, groups = at, ContentTable(), []
-            e, new = found.add(h & (1 << 64) - 1, content)
+            e, new = found.add(h & (1 << 64) - 1, content_of(content))
             if new:
                 groups.append([n, i, rep, [rep], rep])
             else:
@@ -186,8 +187,7 @@ def leaf_column(reps: DataFrame, bucket_bytes: int) -> tuple[Column, int]:
     the buckets of a few very long contents."""
     total = reps.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     first = max(1, math.ceil(1.5 * total / bucket_bytes))
-    digits = [F.pmod(F.shiftrightunsigned(F.col("hash"), 1), F.lit(first)).cast("string")]
-    leaf = digits[0]
+    leaf = F.pmod(F.shiftrightunsigned(F.col("hash"), 1), F.lit(first)).cast("string")
     for level in range(1, MAX_LEVEL + 1):
         over = [r[0] for r in reps.groupBy(leaf.alias("leaf")).agg(F.sum(F.octet_length("content")).alias("b"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter((F.col("b") > bucket_bytes) & (F.col("lo") != F.col("hi"))).select("leaf").collect()]
         if not over:
@@ -208,17 +208,22 @@ def grace_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     arrow_limits(spark)
     id_type = df.schema[id_col].dataType
     inputs = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")]
-    fields = [T.StructField("id", id_type), T.StructField("rep", T.LongType()), T.StructField("top", T.BooleanType()), T.StructField("hash", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("n", T.LongType())]
+    fields = [T.StructField("id", id_type), T.StructField("rep", T.LongType()), T.StructField("top", T.BooleanType()), T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())]
+    content = F.col("content")
     if whole_rows:
         inputs.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
         fields.append(T.StructField("row", df.select(inputs[-1]).schema[0].dataType))
+        content = F.col(f"row.`{text_col}`").cast("binary")
+    else:
+        fields.append(T.StructField("content", T.BinaryType()))
     folded = write_shared(df.select(*inputs).mapInArrow(_fold(bucket_bytes), T.StructType(fields)), "grace-fold")
-    reps = folded.filter("top").select("rep", "id", "n", "hash", "content")
+    reps = folded.filter("top").select("rep", "id", "n", "hash", content.alias("content"))
     leaf, first = leaf_column(reps, bucket_bytes)
     verdict_type = T.StructType([T.StructField("rep", T.LongType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()), T.StructField("wins", T.BooleanType()), T.StructField("sha256", T.StringType())])
     verdicts = (
         reps.withColumn("leaf", leaf)
-        .repartition(max(first, min(parts(spark), 4 * first)), "leaf")
+        # first-level leaves have a task each, whatever their number; parts of split ones go anywhere
+        .repartitionById(first, F.when(F.col("leaf").contains("."), F.pmod(F.xxhash64("leaf"), F.lit(first))).otherwise(F.col("leaf").cast("long")).cast("int"))
         .sortWithinPartitions("leaf")
         .select("leaf", "rep", "id", "n", "hash", "content")
         .mapInArrow(_leaf_tables, verdict_type)
