@@ -121,7 +121,7 @@ def trigrams(name: Column) -> Column:
 
 def first_of_each(items: Column) -> Column:
     """Trimmed strings in order, the first of those that differ in case alone; blanks go."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     keys = F.transform(kept, F.lower)
     return F.filter(kept, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
 

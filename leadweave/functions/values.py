@@ -42,7 +42,7 @@ def proxy_health(outcomes: Column) -> Column:
 
 def list_setting(text: Column) -> Column:
     """A comma-separated setting as an array without blanks."""
-    return F.filter(F.transform(F.split(or_empty(text), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(or_empty(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def string_list(json: Column) -> Column:

@@ -30,13 +30,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], *, replace
     Of a key on both sides, ``replace`` columns come from the incoming row (nulls too), ``fill`` columns only where the
     existing value is null, others stay. ``computed`` gives expressions over ``old.c``, ``new.c``, ``old.here`` and
     ``new.here``. Columns that the incoming rows lack are null in new rows."""
+    for c in existing.columns:
+        if c not in incoming.columns:
+            incoming = incoming.withColumn(c, F.lit(None).cast(existing.schema[c].dataType))
     old, new = existing.withColumn("here", F.lit(True)).alias("old"), incoming.withColumn("here", F.lit(True)).alias("new")
     on = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
     both = old.join(new, on, "full_outer")
     computed, replace, fill = computed or {}, set(replace), set(fill)
     out = []
     for c in existing.columns:
-        mine, theirs = F.col(f"old.{c}"), F.col(f"new.{c}") if c in incoming.columns else F.lit(None)
+        mine, theirs = F.col(f"old.{c}"), F.col(f"new.{c}")
         if c in computed:
             made = computed[c]
         elif c in keys or c in fill:
