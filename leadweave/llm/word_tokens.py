@@ -8,10 +8,11 @@ lower-cases. A worker therefore asks the library only for chunks that it has not
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
+from leadweave.llm._shared import worker_cache
+
 #: Chunks kept by a worker: two generations of this many.
 CACHE_WORDS = 600_000
 #: A longer chunk is encoded each time.
@@ -36,11 +37,25 @@ class WordTokenizer:
                 self.young[w] = ids
             else:
                 ask.append(w)
-        for lo in range(0, len(ask), 4096):
-            some = ask[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (self.young if len(w) <= CACHE_BYTES else extra)[w] = ids
+        # words of plain letters are one pre-token each, so many of them make one text, whose tokens know their word
+        plain, other = [], []
+        for w in ask:
+            t = w.decode("utf-8", "replace")
+            (plain if len(w) <= CACHE_BYTES and t.isalpha() and max(t) < "\u0180" else other).append((w, t))
+        for lo in range(0, len(plain), 4096):
+            some = plain[lo : lo + 4096]
+            e = self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            if word[-1] != len(some) - 1:
+                other += some
+                continue
+            at = np.searchsorted(word, np.arange(len(some) + 1)).tolist()
+            for (w, _), x, y in zip(some, at, at[1:]):
+                self.young[w] = ids[4 * x : 4 * y]
+        for lo in range(0, len(other), 4096):
+            some = other[lo : lo + 4096]
+            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                (self.young if len(w) <= CACHE_BYTES else extra)[w] = np.array(e.ids, "<u4").tobytes()
         return extra
 
     def ids(self, text: bytes | None) -> bytes:
@@ -54,7 +69,6 @@ class WordTokenizer:
         return b"".join(map(self.young.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each worker process, kept between tasks."""
-    return WordTokenizer(path)
+    return worker_cache(("words", path), lambda: WordTokenizer(path))
