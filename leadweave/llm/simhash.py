@@ -10,6 +10,7 @@ components. Copies of one fingerprint are one node from the start.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -91,7 +92,11 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(reps, "fp").select("id", "fp", "component")
 
 
-#: Similarity search: independent fingerprints of SIGN_BITS bits each, over the distinct words of a text.
+#: Texts of the sample that frequent shingles are found in, about, and most of them that are kept.
+SAMPLE_TEXTS, FREQUENT = 20_000, 200_000
+#: Rows of an Arrow batch that a task hands over at a time.
+SLICE = 200_000
+#: Sketches: independent fingerprints of SIGN_BITS bits each, over the distinct words of a text.
 SIGNS, SIGN_BITS = 8, 32
 #: Smallest shingle hashes kept of a text: similarity is exact up to so many shingles in the union, estimated beyond.
 BOTTOM = 256
@@ -128,43 +133,114 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True).sum() / len(union)) if len(union) else 0.0
 
 
-def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:
-    """Links (a, b) between ids whose texts' shingle sets have a similarity of ``least`` or more.
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes, exact; two empty sets: 0."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if both else 0.0
 
-    Candidates meet by ball hashing on each of the SIGNS fingerprints: texts of one fingerprint are compared with the one of
-    smallest id, and the smallest ids of fingerprints that share a variant with each other, in a chain. So candidates are
-    linear in the documents, however large a group of near copies is. Each is verified. Rows with null ids or without a
-    word have no links."""
-    spark = df.sparkSession
-    arrow_limits(spark)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, sorted."""
+    found = np.zeros(0, np.uint64)
+    for block in shingle_hashes(text, width):
+        found = np.union1d(found, block)
+    return found
+
+
+def prefix(hashes: np.ndarray, ranked: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's hashes in the order of all sets: of two sets with a similarity of ``least``, the prefixes meet.
+
+    They share at least ceil(least * n) of the n hashes of either, so not all of them can lie behind its first
+    n - ceil(least * n) + 1. The order is free: hashes that many texts have (``ranked``, sorted) come last, by ``ranks``."""
+    size = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
+        rank = np.where(ranked[at] == hashes, ranks[at], 0)
+        hashes = hashes[np.argsort(rank, kind="stable")]
+    return hashes[:size]
+
+
+def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several texts of a sample have, sorted, and their numbers of texts. Only speed depends on the sample."""
+    rate = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [signature(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in made], pa.list_(pa.int32())), pa.array([m for _, m in made], pa.binary())], ["id", "signs", "bottom"])
+            for t in b.column(0):
+                found = shingle_set(t.as_py(), width).view(np.int64)
+                for lo in range(0, len(found), SLICE):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[lo : lo + SLICE])], ["key"])
+
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit("shingles"), "id"), F.lit(1 << 30)) < rate * (1 << 30)).select("text")
+    counted = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    hashes, n = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
 
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("signs", T.ArrayType(T.IntegerType())), T.StructField("bottom", T.BinaryType())])
-    texts = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    signed = write_shared(texts.mapInArrow(sign, schema).filter(F.octet_length("bottom") > 0), "signs")
-    low = F.lit((1 << SIGN_BITS) - 1)
-    # which fingerprint it is stands above its bits: one long for both
-    members = write_shared(signed.select("id", F.posexplode("signs").alias("k", "fp")).select("id", F.shiftleft(F.col("k").cast("long"), SIGN_BITS).bitwiseOR(F.col("fp").cast("long").bitwiseAND(low)).alias("key")), "sign-members")
-    reps = write_shared(members.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "sign-reps")
-    stars = members.join(reps.filter("n > 1").select("key", "rep"), "key").filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(SIGN_BITS))]])
-    meet = reps.select("rep", F.col("key"), F.explode(masks).alias("mask")).select(F.col("key").bitwiseXOR(F.col("mask")).alias("variant"), "rep").repartition(parts(spark), "variant")
-    chains = meet.select(F.lag("rep").over(Window.partitionBy("variant").orderBy("rep")).alias("a"), F.col("rep").alias("b")).filter(F.col("a") != F.col("b"))
-    pairs = write_shared(stars.unionByName(chains).distinct(), "sign-pairs")
-    left, right = (signed.select(F.col("id").alias(c), F.col("bottom").alias(f"bottom_{c}")) for c in "ab")
-    both = write_shared(pairs.join(left, "a"), "sign-left").join(right, "b")
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts' complete shingle sets have a similarity of ``least`` or more. Sets are made for the texts in pairs only."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in b.column(1)], pa.binary())], ["id", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            good = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    link = T.StructType([T.StructField(c, df.schema[id_col].dataType) for c in "ab"])
-    return both.select("a", "b", "bottom_a", "bottom_b").mapInArrow(verify, link)
+    of = texts.schema["id"].dataType
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    made = write_shared(texts.join(ids, "id", "left_semi").mapInArrow(sets, T.StructType([T.StructField("id", of), T.StructField("shingles", T.BinaryType())])), "near-sets")
+    left, right = (made.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    return write_shared(both.mapInArrow(verify, T.StructType([T.StructField(c, of) for c in "ab"])), "near-links")
+
+
+def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Links (a, b) between ids, each verified on complete shingle sets, that connect all texts of a similarity of ``least`` or more.
+
+    Candidates are complete: similar sets meet in their prefixes (see ``prefix``), and at the first hash that they share, what
+    is left of both suffices for the overlap. Of the texts that meet at a hash, each is verified with the one of smallest
+    id.
+    Rows with null ids or without a word have no links."""
+    spark = df.sparkSession
+    arrow_limits(spark)
+    texts = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    shipped = spark.sparkContext.broadcast(frequent_shingles(texts, width))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, ranks = shipped.value
+        for b in batches:
+            found = [shingle_set(t.as_py(), width) for t in b.column(1)]
+            keys = [prefix(s, ranked, ranks, least) if len(s) else s for s in found]
+            n = [len(k) for k in keys]
+            at = np.repeat(np.arange(len(n)), n)
+            place = np.concatenate([np.arange(k) for k in n]) if n else np.zeros(0, np.int64)
+            flat = np.concatenate(keys).view(np.int64) if n else np.zeros(0, np.int64)
+            size = np.array([len(s) for s in found], np.int64)[at]
+            for lo in range(0, len(flat), SLICE):
+                cut = slice(lo, lo + SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[cut]), b.column(0).take(pa.array(at[cut])), pa.array(size[cut]), pa.array(place[cut])], ["key", "id", "size", "place"])
+
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("size", T.LongType()), T.StructField("place", T.LongType())])
+    w = Window.partitionBy("key").orderBy("id")
+    keyed = texts.mapInArrow(first, schema).repartition(parts(spark), "key")
+    near = keyed.withColumn("before", F.lag("id").over(w)).withColumn("after", F.lead("id").over(w)).filter("before IS NOT NULL OR after IS NOT NULL")
+    met = write_shared(near.select("key", "id", "size", "place"), "near-prefixes")
+
+    def fits(a: str, b: str) -> Column:
+        """Sizes and places allow for the overlap that ``least`` asks for, if this is the first hash that the two share."""
+        size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+        rest = F.least(size_a - F.col(f"{a}.place"), size_b - F.col(f"{b}.place"))
+        return (F.least(size_a, size_b) >= least * F.greatest(size_a, size_b) - 1e-6) & (rest >= least / (1 + least) * (size_a + size_b) - 1e-6)
+
+    members = met.select("key", F.struct("id", "size", "place").alias("b"))
+    hubs = members.withColumn("a", F.first("b").over(Window.partitionBy("key").orderBy("b.id")))
+    stars = write_shared(hubs.filter((F.col("a.id") != F.col("b.id")) & fits("a", "b")).select("a.id", F.col("b.id").alias("other")).toDF("a", "b").distinct(), "near-stars")
+    return _verified(texts, stars, width, least)
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:

@@ -133,3 +133,31 @@ def test_near_copies_of_odd_rows(odd, empty):
     kept = drop_near_copies(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id IS NULL").count() == 2 and kept.filter("doc_id = 2").count() == 0
     assert drop_near_copies(empty).collect() == []
+
+
+def replaced(rng, words, low, high):
+    """The text with one contiguous passage replaced, at a similarity of low to high."""
+    while True:
+        n = rng.randrange(len(words) // 20, len(words) // 5)
+        at = rng.randrange(len(words) - n)
+        new = words[:at] + [f"other{rng.randrange(10**6)}" for _ in range(n)] + words[at + n :]
+        x, y = shingles(" ".join(words)), shingles(" ".join(new))
+        if low <= len(x & y) / len(x | y) < high:
+            return " ".join(new)
+
+
+def linked(spark, rows):
+    links = [(r.a, r.b) for r in similar_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    return links, brute_roots([i for i, _ in rows], links)
+
+
+def test_contiguous_edits_at_the_threshold(spark):
+    import random
+
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        words = [f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(rng.randrange(320, 900))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, replaced(rng, words, 0.8, 0.85))]
+    _, root = linked(spark, rows)
+    assert all(root[2 * k] == root[2 * k + 1] for k in range(60))
