@@ -203,8 +203,8 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Links (a, b) between ids, each verified on complete shingle sets, that connect all texts of a similarity of ``least`` or more.
 
     Candidates are complete: similar sets meet in their prefixes (see ``prefix``), and at the first hash that they share, what
-    is left of both suffices for the overlap. Of the texts that meet at a hash, each is verified with the one of smallest
-    id.
+    is left of both suffices for the overlap. Of the texts that meet at a hash, each is first verified with the one of smallest
+    id; then all pairs that these links have not joined yet are. So large groups of near copies cost one comparison a text.
     Rows with null ids or without a word have no links."""
     spark = df.sparkSession
     arrow_limits(spark)
@@ -240,7 +240,14 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = met.select("key", F.struct("id", "size", "place").alias("b"))
     hubs = members.withColumn("a", F.first("b").over(Window.partitionBy("key").orderBy("b.id")))
     stars = write_shared(hubs.filter((F.col("a.id") != F.col("b.id")) & fits("a", "b")).select("a.id", F.col("b.id").alias("other")).toDF("a", "b").distinct(), "near-stars")
-    return _verified(texts, stars, width, least)
+    links = _verified(texts, stars, width, least)
+    roots = connected_components(links).select(F.col("node").alias("id"), "root")
+    rooted = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = write_shared(rooted.withColumn("low", F.min("root").over(Window.partitionBy("key"))).withColumn("high", F.max("root").over(Window.partitionBy("key"))).filter("low <> high"), "near-mixed")
+    side = mixed.select("key", F.struct("id", "size", "place", "root").alias("a"))
+    open_ = side.join(side.withColumnRenamed("a", "b"), "key").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits("a", "b"))
+    others = write_shared(open_.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "near-others")
+    return links.unionByName(_verified(texts, others, width, least))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -161,3 +162,43 @@ def test_contiguous_edits_at_the_threshold(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, replaced(rng, words, 0.8, 0.85))]
     _, root = linked(spark, rows)
     assert all(root[2 * k] == root[2 * k + 1] for k in range(60))
+
+
+def test_closed_vocabulary_and_unrelated_hubs(spark):
+    """Texts of the same words, and true pairs whose members all meet an unrelated text of smaller id first."""
+    import random
+
+    rng = random.Random(22)
+    rows = []
+    for k in range(40):
+        words = [f"v{rng.randrange(300)}" for _ in range(rng.randrange(1500, 2000))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, replaced(rng, words, 0.85, 0.95))]
+    common = [f"c{i}" for i in range(40)]
+    pairs = []
+    for k in range(30):
+        words = common + [f"u{k}x{i}" for i in range(60)]
+        rows.append((1000 + 2 * k, " ".join(words)))
+        rows.append((1001 + 2 * k, " ".join(words[:-5] + [f"y{k}x{i}" for i in range(5)])))
+        pairs.append((1000 + 2 * k, 1001 + 2 * k))
+    rows.append((-1, " ".join(common + [f"hub{i}" for i in range(60)])))
+    _, root = linked(spark, rows)
+    assert all(root[2 * k] == root[2 * k + 1] for k in range(40)) and all(root[a] == root[b] for a, b in pairs)
+    assert len(set(root.values())) == 71
+
+
+def test_left_over_pairs_of_a_group(spark, monkeypatch):
+    """All texts meet at frequent shingles only, where the smallest id is similar to none of them."""
+    import leadweave.llm.simhash as S
+
+    def ranked_last(texts, width):
+        h = np.unique(np.concatenate([S.shingle_set(r.text, width) for r in texts.filter("id < 10").collect()]))
+        keep = h[~np.isin(h, S.shingle_set(" ".join(shared).encode(), width))]
+        return keep, np.ones(len(keep), np.int64)
+
+    shared = [f"s{i}" for i in range(60)]
+    base = [f"t{i}" for i in range(60)]
+    near = [(k, " ".join(shared + base[:-2] + [f"e{k}", f"f{k}"])) for k in (2, 3)]
+    hub = [(1, " ".join(shared + [f"h{i}" for i in range(60)]))]
+    monkeypatch.setattr(S, "frequent_shingles", ranked_last)
+    _, root = linked(spark, hub + near)
+    assert root == {1: 1, 2: 2, 3: 2}
