@@ -202,3 +202,15 @@ def test_left_over_pairs_of_a_group(spark, monkeypatch):
     monkeypatch.setattr(S, "frequent_shingles", ranked_last)
     _, root = linked(spark, hub + near)
     assert root == {1: 1, 2: 2, 3: 2}
+
+
+def test_links_are_exact_for_long_texts(spark):
+    import random
+
+    rng = random.Random(23)
+    rows = []
+    for k in range(80):
+        words = [f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(rng.randrange(600, 900))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, replaced(rng, words, *((0.8, 0.82) if k % 2 else (0.78, 0.8))))]
+    links, _ = linked(spark, rows)
+    assert sorted(links) == [(2 * k, 2 * k + 1) for k in range(1, 80, 2)]
