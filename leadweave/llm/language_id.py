@@ -296,7 +296,8 @@ def fit(labelled: DataFrame, *, order: int = ORDER, train_chars: int = TRAIN_CHA
         for b in batches:
             out = {"lang": [], "bits": [], "n": []}
             for lang, total in zip(b.column(0).to_pylist(), scorer.texts(b.column(1).to_pylist())):
-                if total[-1] and lang in scorer.models.langs:
+                # a text that another language's model scores better is taken as mislabelled
+                if total[-1] and lang in scorer.models.langs and total[scorer.models.langs.index(lang)] >= total[:-1].max():
                     for k, v in zip(out, (lang, -total[scorer.models.langs.index(lang)] / total[-1], int(total[-1]))):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("bits", pa.float64()), ("n", pa.int64())]))
@@ -307,19 +308,20 @@ def fit(labelled: DataFrame, *, order: int = ORDER, train_chars: int = TRAIN_CHA
 
 
 def _limits(langs: list[str], seen: list[tuple[str, float, int]]) -> np.ndarray:
-    """Mean, spread between texts, spread within, and limit of z of each language, from calibration texts.
+    """Middle, spread between texts, spread within, and limit of z of each language, from calibration texts.
 
-    The limit is 1.5 times the largest z of any calibration text, REJECT_Z at least, so that none of them comes near it."""
+    Middle and spread are the median and the median deviation, so up to half of the texts may be junk. The limit is 1.5 times
+    the largest z of the texts within REJECT_Z, and REJECT_Z at least: whatever lies farther out does not move it."""
     out = []
     for lang in langs:
         bits = np.array([b for x, b, _ in seen if x == lang] or [3.0])
         n = np.array([c for x, _, c in seen if x == lang] or [1])
-        mean = float(np.average(bits, weights=n))
         long = n >= 200
-        between = float(max(0.05, np.std(bits[long]) if long.sum() > 1 else 0.3))
+        middle = float(np.median(bits[long] if long.any() else bits))
+        between = float(max(0.05, 1.4826 * np.median(np.abs(bits[long] - middle))) if long.sum() > 1 else 0.3)
         within = 2.5
-        z = (bits - mean) / np.sqrt(between**2 + within**2 / n)
-        out.append((mean, between, within, max(REJECT_Z, 1.5 * float(z.max()))))
+        z = (bits - middle) / np.sqrt(between**2 + within**2 / n)
+        out.append((middle, between, within, max(REJECT_Z, 1.5 * float(z[z <= REJECT_Z].max(initial=0.0)))))
     return np.array(out).reshape(len(langs), 4)
 
 

@@ -93,3 +93,33 @@ def test_rejects_and_edges(spark, odd, empty):
     nothing = fit_documents(empty)
     assert {r.lang_pred for r in identify(odd, nothing).collect()} == {"und"}
     assert drop_rejected(docs).columns == docs.columns and drop_rejected(docs).count() >= 0.995 * docs.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_junk_among_calibration_texts_does_not_move_the_limit():
+    from leadweave.llm.language_id import _limits
+
+    rng = np.random.default_rng(4)
+    clean = [("de", float(b), 1500) for b in rng.normal(1.93, 0.06, 100)]
+
+    def highest(seen):
+        middle, between, within, limit = _limits(["de"], seen)[0]
+        return middle + limit * math.sqrt(between**2 + within**2 / 300)
+
+    alone = highest(clean)
+    assert 2.5 < alone < 3.5
+    for junk in (1, 10, 25):
+        assert highest(clean + [("de", 5.0, 1500)] * junk) < alone + 0.4
+    assert _limits(["de", "en"], clean)[1].tolist() == [3.0, 0.3, 2.5, 6.0]
+
+
+def test_mislabelled_calibration_texts_are_left_out(spark, monkeypatch):
+    import leadweave.llm.language_id as L
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    seen = []
+    limits = L._limits
+    monkeypatch.setattr(L, "_limits", lambda langs, rows: seen.extend(rows) or limits(langs, rows))
+    wrong = docs.filter("lang = 'en' AND n_chars > 300").limit(60).selectExpr("doc_id + 100000 AS doc_id", "text", "'de' AS lang")
+    mixed = fit_documents(docs.select("doc_id", "text", "lang").unionByName(wrong))
+    middle, between, _, limit = mixed.reject[mixed.langs.index("de")]
+    assert middle + limit * between < 3 and max(b for x, b, _ in seen if x == "de") < 3
