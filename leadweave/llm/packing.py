@@ -3,7 +3,8 @@
 Documents become pieces of at most ``capacity`` tokens (only longer ones are cut). Pieces are dealt at random into
 shards of bounded size, and every shard is packed by several *islands*, each a task of its own with its own population.
 A chromosome is a list of bins. Crossover injects whole well-filled bins of one parent into the other, removes the bins
-that hold a piece twice, and puts displaced pieces back by best fit, largest first; mutation empties poor bins. After an
+that hold a piece twice, and puts displaced pieces back by best fit, largest first; mutation empties poor bins. The first
+chromosomes place pieces in random order, so that the search finds its bins by crossover. After an
 epoch each island's elite migrates to the next island of the ring and joins its population. The best island of a shard
 wins. The poorly filled bins of all shards are then dealt out and packed together once more, so that shards do not each
 end with a part-filled bin.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -33,8 +34,10 @@ END_ID = 1
 SHARD = 8192
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-OFFSPRING = 6
+POPULATION = 3
+OFFSPRING = 8
+#: Share of the bins with room that a mutation empties.
+MUTATED = 0.3
 #: Bins filled less than this go into the second packing.
 POOR = 0.97
 
@@ -71,10 +74,10 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
 class Bins:
     """Bins under construction, found by the room left: a bit set over the rooms gives the best fit in one step."""
 
-    def __init__(self, lengths: list[int], capacity: int, bins: list[list[int]] = ()):
+    def __init__(self, lengths: list[int], capacity: int, bins: list[list[int]] = (), fill: list[int] | None = None):
         self.lengths, self.capacity = lengths, capacity
-        self.bins = [list(b) for b in bins]
-        self.fill = [sum(map(lengths.__getitem__, b)) for b in self.bins]
+        self.bins = list(map(list, bins))
+        self.fill = [sum(map(lengths.__getitem__, b)) for b in self.bins] if fill is None else fill
         self.by_room: dict[int, list[int]] = {}
         self.rooms = 0
         for i, f in enumerate(self.fill):
@@ -84,7 +87,7 @@ class Bins:
         self.by_room.setdefault(room, []).append(i)
         self.rooms |= 1 << room
 
-    def best_fit(self, items: list[int]) -> None:
+    def best_fit(self, items: Iterable[int]) -> None:
         """Place items, largest first, each into the bin that it leaves fullest."""
         lengths = self.lengths
         for x in sorted(items, key=lengths.__getitem__, reverse=True):
@@ -108,58 +111,80 @@ class Bins:
             self._open(i, room - size)
 
 
-def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
+def fitness(c: Bins) -> tuple[int, float]:
     """Smaller is better: number of bins, then unevenness of their fill (full bins and one poor one beat many half-full)."""
-    return len(bins), -sum((sum(map(lengths.__getitem__, b)) / capacity) ** 2 for b in bins)
+    return len(c.bins), -sum(f * f for f in c.fill) / c.capacity**2
 
 
-def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject well-filled bins of ``b`` into ``a``; bins of ``a`` that share a piece with them are dissolved, the rest refitted."""
-    floor = capacity * rng.uniform(0.985, 1.0)
-    chosen = [x for x in b if sum(map(lengths.__getitem__, x)) >= floor and rng.random() < 0.5]
-    taken = {i for x in chosen for i in x}
-    kept, displaced = list(chosen), []
-    for x in a:
+def scattered(lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    """A chromosome to start from: every item into the bin that it leaves fullest, in random order."""
+    out = Bins(lengths, capacity)
+    for x in rng.sample(range(len(lengths)), len(lengths)):
+        out.place(x)
+    return out
+
+
+def descending(lengths: list[int], capacity: int) -> Bins:
+    """Best fit decreasing, the yardstick of the search."""
+    out = Bins(lengths, capacity)
+    out.best_fit(range(len(lengths)))
+    return out
+
+
+def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
+    """Inject well-filled bins of ``b`` into ``a``; bins of ``a`` that share an item with them are dissolved, the rest refitted."""
+    floor = a.capacity * rng.uniform(0.985, 1.0)
+    chosen = [i for i, f in enumerate(b.fill) if f >= floor and rng.random() < 0.5]
+    taken = {x for i in chosen for x in b.bins[i]}
+    kept, fill, displaced = [b.bins[i] for i in chosen], [b.fill[i] for i in chosen], []
+    for x, f in zip(a.bins, a.fill):
         if taken.isdisjoint(x):
             kept.append(x)
+            fill.append(f)
         else:
             displaced += [i for i in x if i not in taken]
-    out = Bins(lengths, capacity, kept)
+    out = Bins(a.lengths, a.capacity, kept, fill)
     out.best_fit(displaced)
-    return out.bins
+    return out
+
 
+def mutate(c: Bins, rng: random.Random) -> Bins:
+    """Empty the poorest bins, some others that are not full and a few that may be, and refit what they held."""
+    n = max(1, len(c.bins) // 50)
+    part = sorted((i for i, f in enumerate(c.fill) if f < c.capacity), key=c.fill.__getitem__)
+    gone = {*part[:n], *(i for i in part if rng.random() < MUTATED), *rng.sample(range(len(c.bins)), min(len(c.bins), n))}
+    kept = [i for i in range(len(c.bins)) if i not in gone]
+    out = Bins(c.lengths, c.capacity, [c.bins[i] for i in kept], [c.fill[i] for i in kept])
+    out.best_fit([x for i in gone for x in c.bins[i]])
+    return out
 
-def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Empty the poorest bins and a few others, and refit what they held."""
-    order = sorted(range(len(bins)), key=lambda i: sum(map(lengths.__getitem__, bins[i])))
-    gone = set(order[: max(1, len(bins) // 50)]) | set(rng.sample(range(len(bins)), min(len(bins), max(1, len(bins) // 50))))
-    out = Bins(lengths, capacity, [b for i, b in enumerate(bins) if i not in gone])
-    out.best_fit([x for i in gone for x in bins[i]])
-    return out.bins
 
+def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, *, population: int = POPULATION, offspring: int = OFFSPRING, counts: dict[str, int] | None = None) -> Bins:
+    """One epoch of one island; returns its elite. Ends early at the bound below which no packing can go.
 
-def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, *, population: int = POPULATION, offspring: int = OFFSPRING) -> list[list[int]]:
-    """One epoch of one island; returns its elite. Ends early at the bound below which no packing can go."""
+    No chromosome starts from the descending order: the search has to find its bins. It is best fit decreasing that is
+    returned only where the search ends above the bound and with more bins than that. ``counts`` gets the number of crossovers
+    and 1 as ``fallback`` in that case."""
     rng = random.Random(seed)
+    counts = {} if counts is None else counts
     least = max(math.ceil(sum(lengths) / capacity), sum(2 * x > capacity for x in lengths))
-    pool = [e for e in elites if e]
-    while len(pool) < population:
-        start = Bins(lengths, capacity)
-        if not pool:
-            start.best_fit(list(range(len(lengths))))
-        else:  # the same, in an order that is only nearly descending
-            for x in sorted(range(len(lengths)), key=lambda i: -lengths[i] * rng.uniform(0.9, 1.1)):
-                start.place(x)
-        pool.append(start.bins)
-        if len(start.bins) == least:
-            break
-    scored = sorted(((fitness(c, lengths, capacity), c) for c in pool), key=lambda s: s[0])
+    pool = [Bins(lengths, capacity, e) for e in elites if e]
+    while len(pool) < population and not any(len(c.bins) <= least for c in pool):
+        pool.append(scattered(lengths, capacity, rng))
+    scored = sorted(((fitness(c), c) for c in pool), key=lambda s: s[0])[:population]
+    counts["crossovers"] = counts["fallback"] = 0
     for _ in range(offspring):
-        if scored[0][0][0] <= least:
+        if scored[0][0][0] <= least or len(scored) < 2:
             break
-        (_, a), (_, b) = rng.sample(scored, 2) if len(scored) > 1 else (scored[0], scored[0])
-        child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        scored = sorted([*scored, (fitness(child, lengths, capacity), child)], key=lambda s: s[0])[:population]
+        (_, a), (_, b) = rng.sample(scored, 2)
+        child = mutate(crossover(a, b, rng), rng)
+        counts["crossovers"] += 1
+        scored = sorted([*scored, (fitness(child), child)], key=lambda s: s[0])[:population]
+    if scored[0][0][0] > least:
+        plain = descending(lengths, capacity)
+        if len(plain.bins) < scored[0][0][0]:
+            counts["fallback"] = 1
+            return plain
     return scored[0][1]
 
 
@@ -179,7 +204,7 @@ def _epoch(capacity: int, epoch: int):
             elites.append(list(bins.values()))
         best = evolve(own["length"].tolist(), capacity, elites, hash((shard, island, epoch)))
         where = [0] * len(at)
-        for k, b in enumerate(best):
+        for k, b in enumerate(best.bins):
             for x in b:
                 where[x] = k
         return own.assign(bin=where)[["shard", "island", "source", "rid", "length", "bin"]]

@@ -6,7 +6,9 @@ from collections import defaultdict
 
 import pytest
 
-from leadweave.llm.packing import Bins, crossover, evolve, mutate, pack, pack_documents, word_vocabulary
+from leadweave.llm import packing, word_tokens
+from leadweave.llm.packing import Bins, crossover, descending, evolve, mutate, pack, pack_documents, scattered, word_vocabulary
+from leadweave.llm.word_tokens import WordTokenizer
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +16,6 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(word_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -42,26 +43,64 @@ def test_against_tokenizers(docs, odd, encode):
 
 
 def test_special_strings(spark, encode):
-    df = spark.createDataFrame([(1, "a<|endoftext|>b <|startoftext|> It's naïve  x\u00a0y e\u0301 ﬁ İI ΣΑΣ 1234"), (2, "\u200b\x1c\x85\ufeff")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a<|endoftext|>b <|startoftext|> It's naïve  x\u00a0y e\u0301 ﬁ İI ΣΑΣ 1234"), (2, "\u200b\x1c\x85\ufeff"), (3, "A <|ENDOFTEXT|> b <|endoftext|>"), (4, "<|endoftext|>"), (5, "it's. 's, ''s' (x). é! ’. \u0130. 7."), (6, "x <|endoftext b|>")], "doc_id long, text string")
     check([(r.doc_id, r.text) for r in df.collect()], pack_documents(df).collect(), encode)
 
 
+def test_alphabet_against_tokenizers(encode):
+    rng = random.Random(3)
+    alphabet = "aB.,'\u2019!?-_ \n\t\x1c\x85\u00a0\u00e9e\u0301\u0130\u00df\u03a3\u4e2d1\u0663<|>\u200b\ufb01\ufeff$%&sStTrRvVdDlLmM"
+    cached = WordTokenizer(word_vocabulary())
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 25)))
+        assert list(struct.iter_unpack("<I", cached.ids(text.encode()))) == [(i,) for i in encode(text)[:-1]], text
+
+
+def test_cache_turns_over(monkeypatch, docs, encode):
+    monkeypatch.setattr(word_tokens, "CACHE_BYTES", 20_000)
+    cached = WordTokenizer(word_vocabulary())
+    for r in docs.limit(60).collect():
+        assert list(struct.iter_unpack("<I", cached.ids((r.text or "").encode()))) == [(i,) for i in encode(r.text)[:-1]]
+    assert cached.old and cached.bytes < 100_000
+
+
 def test_genetic_steps():
     rng = random.Random(1)
     lengths = [rng.randrange(1, 900) for _ in range(400)]
-    start = Bins(lengths, 1000)
-    start.best_fit(list(range(400)))
-    other = Bins(lengths, 1000)
-    for x in range(400):
-        other.place(x)
-    for child in (start.bins, other.bins, crossover(start.bins, other.bins, lengths, 1000, rng), mutate(other.bins, lengths, 1000, rng)):
-        assert sorted(x for b in child for x in b) == list(range(400))
-        assert all(sum(lengths[x] for x in b) <= 1000 for b in child)
-    best = evolve(lengths, 1000, [other.bins], 5)
-    assert len(best) <= len(start.bins)
-    # two halves of a hard instance: best fit alone needs a bin more than the optimum
-    hard = [6, 5, 5, 4, 4, 3, 3] * 10
-    assert len(evolve(hard, 10, [], 3, offspring=40)) <= 31
+    start, other = descending(lengths, 1000), scattered(lengths, 1000, rng)
+    for child in (start, other, crossover(start, other, rng), crossover(other, start, rng), mutate(other, rng)):
+        assert sorted(x for b in child.bins for x in b) == list(range(400))
+        assert child.fill == [sum(lengths[x] for x in b) for b in child.bins] and max(child.fill) <= 1000
+    assert len(evolve(lengths, 1000, [other.bins], 5).bins) <= len(start.bins)
+
+
+def triplets(n, seed):
+    """Items that fill n bins of 1000 exactly, three in each: hard for best fit."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(380, 500)
+        b = rng.randrange(250, (1000 - a) // 2 + 1)
+        out += [a, b, 1000 - a - b]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_crossover_decides(monkeypatch, seed):
+    lengths, plan = triplets(40, seed), {"population": 20, "offspring": 1200}
+    counts = {}
+    found = len(evolve(lengths, 1000, [], seed, counts=counts, **plan).bins)
+    assert counts["crossovers"] > 0 and not counts["fallback"]
+    assert found <= len(descending(lengths, 1000).bins) - 4
+    monkeypatch.setattr(packing, "crossover", lambda a, b, rng: Bins(a.lengths, a.capacity, a.bins, list(a.fill)))
+    assert found < len(evolve(lengths, 1000, [], seed, **plan).bins)
+
+
+def test_crossover_on_documents(docs, encode):
+    lengths = [len(x) % 4096 or 4096 for x in (encode(r.text) for r in docs.collect())]
+    counts = {}
+    assert len(evolve(lengths, 4096, [], 7, counts=counts).bins) <= len(descending(lengths, 4096).bins)
+    assert counts["crossovers"] > 0
 
 
 def test_islands(spark):
