@@ -17,6 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,45 +93,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(reps, "fp").select("id", "fp", "component")
 
 
-#: Texts of the sample that frequent shingles are found in, about, and most of them that are kept.
-SAMPLE_TEXTS, FREQUENT = 20_000, 200_000
+#: Counters of the frequency sketch, and parts that they are summed in.
+SKETCH_BITS, SEGMENTS = 22, 64
 #: Rows of an Arrow batch that a task hands over at a time.
 SLICE = 200_000
-#: Sketches: independent fingerprints of SIGN_BITS bits each, over the distinct words of a text.
-SIGNS, SIGN_BITS = 8, 32
-#: Smallest shingle hashes kept of a text: similarity is exact up to so many shingles in the union, estimated beyond.
-BOTTOM = 256
-
-
-def signature(text: bytes | None, width: int = 5) -> tuple[list[int], bytes]:
-    """SIGNS fingerprints of the distinct words as signed ints, and the BOTTOM smallest shingle hashes (upper halves, sorted).
-
-    Words, not shingles, are signed: where a few words differ, few features do, and fingerprints stay within a small radius."""
-    words = set((text or b"").lower().split())
-    if not words:
-        return [0] * SIGNS, b""
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    ones = np.zeros(64 * (SIGNS // 2), np.int64)
-    for lo in range(0, len(h), BLOCK):
-        for k in range(SIGNS // 2):  # each 64-bit hash gives two fingerprints' bits
-            x = (h[lo : lo + BLOCK] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-            bits = np.unpackbits((x ^ x >> np.uint64(32)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int64)
-    signs = np.packbits(2 * ones > len(h), bitorder="little").view("<i4").tolist()
-    least = np.zeros(0, np.uint32)
-    for block in shingle_hashes(text, width):
-        least = np.unique(np.concatenate([least, (block >> np.uint64(32)).astype(np.uint32)]))[:BOTTOM]
-    return signs, least.astype("<u4").tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets by their smallest hashes; no shingles: 0."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)
-    if len(x) == BOTTOM or len(y) == BOTTOM:
-        union = union[:BOTTOM]
-    return float(np.isin(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True).sum() / len(union)) if len(union) else 0.0
+#: Sizes of sets fall into bands of this ratio: similar sets are in the same band or neighbours.
+BAND = 1.25
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -147,36 +115,50 @@ def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     return found
 
 
-def prefix(hashes: np.ndarray, ranked: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
     """The first of a set's hashes in the order of all sets: of two sets with a similarity of ``least``, the prefixes meet.
 
     They share at least ceil(least * n) of the n hashes of either, so not all of them can lie behind its first
-    n - ceil(least * n) + 1. The order is free: hashes that many texts have (``ranked``, sorted) come last, by ``ranks``."""
+    n - ceil(least * n) + 1. The order is free: rare hashes come first, by the ranks of their counters."""
     size = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
-    if len(ranked):
-        at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
-        rank = np.where(ranked[at] == hashes, ranks[at], 0)
-        hashes = hashes[np.argsort(rank, kind="stable")]
-    return hashes[:size]
+    return hashes[np.argsort(ranks[_counter(hashes)], kind="stable")][:size]
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that several texts of a sample have, sorted, and their numbers of texts. Only speed depends on the sample."""
-    rate = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
+def shingle_ranks(texts: DataFrame, width: int) -> np.ndarray:
+    """A rank from 0 to 255 for each counter of a sketch: how many texts hold shingles that fall to it, by steps of a logarithm.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    All texts count, in a fixed number of counters, so what tasks send and the driver gets (4 MB) does not grow. Shingles that share
+    a counter share a rank; only speed depends on it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             for t in b.column(0):
-                found = shingle_set(t.as_py(), width).view(np.int64)
-                for lo in range(0, len(found), SLICE):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[lo : lo + SLICE])], ["key"])
+                np.add.at(sketch, _counter(shingle_set(t.as_py(), width)), 1)
+        parts_ = [zstandard.compress(x.tobytes(), 1) if x.any() else None for x in sketch.reshape(SEGMENTS, -1)]
+        some = [i for i, x in enumerate(parts_) if x]
+        for lo in range(0, len(some), 8):
+            yield pa.RecordBatch.from_arrays([pa.array(some[lo : lo + 8], pa.int32()), pa.array([parts_[i] for i in some[lo : lo + 8]], pa.binary())], ["segment", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for segment, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(zstandard.decompress(counts), np.uint32)
+                sums[segment] = sums.get(segment, 0) + x.astype(np.uint64)
+        for segment, x in sums.items():
+            ranks = np.minimum(255, np.round(8 * np.log2(1.0 + x))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], ["segment", "ranks"])
 
-    sample = texts.filter(F.pmod(F.xxhash64(F.lit("shingles"), "id"), F.lit(1 << 30)) < rate * (1 << 30)).select("text")
-    counted = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
-    rows = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    hashes, n = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    sent = texts.select("text").mapInArrow(count, "segment int, counts binary").repartition(SEGMENTS, "segment")
+    out = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.uint8)
+    for r in sent.mapInArrow(add, "segment int, ranks binary").collect():
+        out[r["segment"]] = np.frombuffer(r["ranks"], np.uint8)
+    return out.ravel()
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -195,7 +177,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> D
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     made = write_shared(texts.join(ids, "id", "left_semi").mapInArrow(sets, T.StructType([T.StructField("id", of), T.StructField("shingles", T.BinaryType())])), "near-sets")
     left, right = (made.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    # the set of a hub, "a", joins last: it is not repeated in an exchange
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b")
     return write_shared(both.mapInArrow(verify, T.StructType([T.StructField(c, of) for c in "ab"])), "near-links")
 
 
@@ -203,19 +186,20 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Links (a, b) between ids, each verified on complete shingle sets, that connect all texts of a similarity of ``least`` or more.
 
     Candidates are complete: similar sets meet in their prefixes (see ``prefix``), and at the first hash that they share, what
-    is left of both suffices for the overlap. Of the texts that meet at a hash, each is first verified with the one of smallest
+    is left of both suffices for the overlap. As rare shingles come first, what many texts share beside their own words comes too
+    late for that, and such texts are no candidates. Of the texts that meet at a hash, each is first verified with the one of smallest
     id; then all pairs that these links have not joined yet are. So large groups of near copies cost one comparison a text.
     Rows with null ids or without a word have no links."""
     spark = df.sparkSession
     arrow_limits(spark)
     texts = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    shipped = spark.sparkContext.broadcast(frequent_shingles(texts, width))
+    shipped = spark.sparkContext.broadcast(shingle_ranks(texts, width))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, ranks = shipped.value
+        ranks = shipped.value
         for b in batches:
             found = [shingle_set(t.as_py(), width) for t in b.column(1)]
-            keys = [prefix(s, ranked, ranks, least) if len(s) else s for s in found]
+            keys = [prefix(s, ranks, least) if len(s) else s for s in found]
             n = [len(k) for k in keys]
             at = np.repeat(np.arange(len(n)), n)
             place = np.concatenate([np.arange(k) for k in n]) if n else np.zeros(0, np.int64)
@@ -244,8 +228,10 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected_components(links).select(F.col("node").alias("id"), "root")
     rooted = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = write_shared(rooted.withColumn("low", F.min("root").over(Window.partitionBy("key"))).withColumn("high", F.max("root").over(Window.partitionBy("key"))).filter("low <> high"), "near-mixed")
-    side = mixed.select("key", F.struct("id", "size", "place", "root").alias("a"))
-    open_ = side.join(side.withColumnRenamed("a", "b"), "key").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits("a", "b"))
+    band = F.floor(F.log("size") / math.log(BAND)).cast("int")
+    side = mixed.select("key", band.alias("band"), F.struct("id", "size", "place", "root").alias("a"))
+    reach = side.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("a").alias("b"))
+    open_ = side.join(reach, ["key", "band"]).filter((F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits("a", "b"))
     others = write_shared(open_.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "near-others")
     return links.unionByName(_verified(texts, others, width, least))
 
