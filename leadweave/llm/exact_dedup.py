@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.llm._shared import LOWER, UPPER, arrow_limits, table, write_shared
+from leadweave.llm._shared import LOWER, UPPER, arrow_limits, parts, table, write_shared
 
 #: Bytes of content that one open-addressing table may hold.
 BUCKET_BYTES = 16 << 20
 FAN_OUT = 16
+#: Tasks of the exchange of leaves, at most, as a multiple of the session's shuffle partitions; a task takes leaf after leaf.
+TASKS = 4
 #: Digits of the 64-bit hash that recursion may use.
 MAX_LEVEL = 8
 
@@ -219,11 +221,12 @@ def grace_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     folded = write_shared(df.select(*inputs).mapInArrow(_fold(bucket_bytes), T.StructType(fields)), "grace-fold")
     reps = folded.filter("top").select("rep", "id", "n", "hash", content.alias("content"))
     leaf, first = leaf_column(reps, bucket_bytes)
+    tasks = min(first, TASKS * parts(spark))
     verdict_type = T.StructType([T.StructField("rep", T.LongType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()), T.StructField("wins", T.BooleanType()), T.StructField("sha256", T.StringType())])
     verdicts = (
         reps.withColumn("leaf", leaf)
-        # first-level leaves have a task each, whatever their number; parts of split ones go anywhere
-        .repartitionById(first, F.when(F.col("leaf").contains("."), F.pmod(F.xxhash64("leaf"), F.lit(first))).otherwise(F.col("leaf").cast("long")).cast("int"))
+        # first-level leaves are dealt out in turn, several to a task where there are more of them than tasks; parts of split ones go anywhere
+        .repartitionById(tasks, F.pmod(F.when(F.col("leaf").contains("."), F.xxhash64("leaf")).otherwise(F.col("leaf").cast("long")), F.lit(tasks)).cast("int"))
         .sortWithinPartitions("leaf")
         .select("leaf", "rep", "id", "n", "hash", "content")
         .mapInArrow(_leaf_tables, verdict_type)
