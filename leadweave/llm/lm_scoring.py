@@ -19,6 +19,7 @@ a slice of uniform hashes whatever the corpus looks like.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ from leadweave.llm._shared import arrow_limits, crc_mod, parts, table, write_sha
 
 #: Bytes of text of a block, at most (a single longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
+#: Bytes of packed n-grams of a range, about.
+RANGE_BYTES = 16 << 20
 #: Remainders of crc32(id) mod 7: never trained on; trained on, but held out while the weights are learned.
 TEST, TUNE, FOLDS = 2, 3, 7
 BUCKETS = 24
@@ -314,13 +317,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     hash."""
     spark = df.sparkSession
     arrow_limits(spark)
-    ranges = 2 * parts(spark)
     id_type = df.schema[id_col].dataType
     docs = df.select(F.col(f"`{id_col}`").alias("id"), crc_mod(F.col(f"`{id_col}`"), FOLDS).cast("int").alias("fold"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     probe = docs.select("id").limit(0).toArrow().schema.field("id").type
     names = [("block", pa.int64()), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("lengths", pa.binary()), ("ids", pa.list_(probe)), ("folds", pa.list_(pa.int32())), ("tune", pa.bool_())]
     fields = [T.StructField("block", T.LongType())] + [T.StructField(c, T.BinaryType()) for c in ("tokens", "vocabulary", "lengths")] + [T.StructField("ids", T.ArrayType(id_type)), T.StructField("folds", T.ArrayType(T.IntegerType())), T.StructField("tune", T.BooleanType())]
     blocks = write_shared(docs.mapInArrow(_blocks(block_bytes, pa.schema(names)), T.StructType(fields)), "lm-blocks")
+    # a task holds one range of one kind: ranges follow the blocks, each of which sends about its own bytes
+    ranges = max(2 * parts(spark), math.ceil(blocks.count() * block_bytes / RANGE_BYTES))
     sent = blocks.mapInArrow(_send(ranges), _SENT)
     answers = write_shared(sent.repartition(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(_answer, _ANSWER), "lm-answers")
     sums = {r["kind"]: r for r in answers.filter("block = -1").groupBy("kind").agg(F.sum("seen").alias("seen"), F.sum("sum_total").alias("total"), F.sum("sum_held").alias("held")).collect()}
