@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ CHUNKS = 64
 #: Signatures without a common run of this many characters (or of the shorter one) are unlike.
 RUN = 5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Keys drawn for each range that rows are dealt out by, about.
+KEYS_PER_RANGE = 64
 #: Bytes hashed at a time: bounds the arrays of a long text.
 STEP = 1 << 20
 
@@ -114,63 +117,82 @@ def likeness(x: str, y: str) -> float:
     return 0.0
 
 
-def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (part, extra, id, text) dealt out by ranges of ids, descending within each, so that a row's next document follows it.
+def _order(i, mark: int) -> tuple:
+    """Ascending order of rows: null ids, then ids, then the text's hash."""
+    return (i is not None, 0 if i is None else i, mark)
+
 
-    The boundaries are ids that occur (approximate percentiles, exact in type), and the first document of a range comes
-    once more, as ``extra``, at the end of the range before it; the very first closes the last range. Texts therefore cross
-    the network once. Repeated ids are ordered by text; null ids come last."""
-    n = parts(df.sparkSession)
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    stats = rows.agg(F.max("id").alias("top"), F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("cuts")).first()
-    heads = np.array(sorted({*(stats["cuts"] or []), *([] if stats["top"] is None else [stats["top"]])}), np.int64)
-    last = max(0, len(heads) - 1)
+def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (part, extra, id, text, n) dealt out by ranges of (id, text's hash), descending within each, so that a row's next one follows it.
+
+    The boundaries are keys of rows drawn at random, and the row at the head of a range comes once more, as ``extra``, at the end of
+    the range before it; the very first closes the last range. A task sends rows that are equal in id and text as one, with
+    their number, and each head once. So texts cross the network once, and neither repeated ids, nor null ids, nor
+    repeated rows make a range larger than others."""
+    spark = df.sparkSession
+    n = parts(spark)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    drawn = rows.select(F.struct("id", "mark").alias("key"), (F.rand(7) < KEYS_PER_RANGE * n / max(1, df.count())).alias("hit"))
+    stats = drawn.agg(F.max("key").alias("top"), F.collect_list(F.when(F.col("hit"), F.col("key"))).alias("drawn")).first()
+    keys = sorted(_order(*k) for k in stats["drawn"])
+    heads = sorted({*(keys[i * len(keys) // n] for i in range(1, n) if keys), *([] if stats["top"] is None else [_order(*stats["top"])])})
+    last = len(heads) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for b in batches:
-            ids = b.column(0)
-            known = np.array(ids.is_valid())
-            values = np.array(ids.fill_null(0).cast(pa.int64()))
-            # range p holds the ids from just above heads[last - p - 1] up to its head, heads[last - p]
-            part = np.where(known, last - np.searchsorted(heads, values), last) if len(heads) else np.zeros(len(values), np.int64)
-            is_head = known & np.isin(values, heads) if len(heads) else np.ones(len(values), bool)
-            again = np.flatnonzero(is_head)
-            to = np.where(part[again] == 0, last, part[again] - 1)
-            for rows_, where, extra in ((np.arange(len(values)), part, 0), (again, to, 1)):
-                if len(rows_):
-                    some = b.take(pa.array(rows_))
-                    yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(np.full(len(rows_), extra, np.int32)), *some.columns], ["part", "extra", "id", "text"])
-
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("extra", T.IntegerType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("text", T.StringType())])
-    return rows.mapInArrow(deal, schema).repartition(n, "part").sortWithinPartitions(F.col("part"), F.col("extra"), F.col("id").desc_nulls_last(), F.col("text"))
+            found: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist())):
+                found.setdefault(key, [row, 0])[1] += 1
+            out = []
+            for (i, mark, _), (row, many) in found.items():
+                # range p holds the keys from just above heads[last - p - 1] up to its head, heads[last - p]
+                at = bisect_left(heads, _order(i, mark))
+                out.append((last - at, 0, row, many))
+                if heads[at] == _order(i, mark) and at not in sent:
+                    sent.add(at)
+                    out.append((last - at - 1 if at < last else last, 1, row, 1))
+            if out:
+                part, extra, at, many = zip(*out)
+                some = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(extra, pa.int32()), *some.columns, pa.array(many, pa.int64())], ["part", "extra", "id", "text", "mark", "n"])
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("extra", T.IntegerType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("mark", T.LongType()), T.StructField("n", T.LongType())])
+    dealt = rows.mapInArrow(deal, schema).repartitionById(n, F.col("part"))
+    return dealt.sortWithinPartitions(F.col("part"), F.col("extra"), F.col("id").desc_nulls_last(), F.col("mark").desc(), F.col("text")).select("part", "extra", "id", "text", "n")
 
 
 def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document, in descending order of ids, the first after the last. Null text counts as empty: its fingerprint has empty
-    signatures, as has its edited text. Repeated ids are ordered by text, null ids come after all others. A table of one
+    document, in descending order of ids, the first after the last. Ids are of any type that orders. Null text counts as empty: its
+    fingerprint has empty signatures, as has its edited text. Repeated ids are in descending order of their texts' hashes
+    (xxhash64), null ids come after all others. A table of one
     row follows itself; an empty table gives an empty result; other columns play no part."""
     arrow_limits(df.sparkSession)
 
+    def compared(i, chars: str, mark: str, following: str, other: str) -> tuple:
+        half = len(chars) // 2
+        edited = (chars[: len(chars) - half] + following[:half]).encode()
+        changed = fingerprint(edited)
+        return (i, len(chars), hashlib.sha256(edited).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, other))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         part, held = None, None
         for b in batches:
             out: list[tuple] = []
-            for p, extra, i, text in zip(*(c.to_pylist() for c in b.columns)):
+            for p, extra, i, text, many in zip(*(c.to_pylist() for c in b.columns)):
                 if p != part:
                     part, held = p, None
                 if extra and held is None:
                     continue
                 own = fingerprint(text.encode())
                 if held is not None:
-                    before, chars, mark = held
-                    half = len(chars) // 2
-                    edited = (chars[: len(chars) - half] + text[:half]).encode()
-                    other = fingerprint(edited)
-                    out.append((before, len(chars), hashlib.sha256(edited).hexdigest(), mark, other, likeness(mark, other), likeness(mark, own)))
+                    out.append(compared(*held, text, own))
+                if many > 1:
+                    out += [compared(i, text, own, text, own)] * (many - 1)
                 held = None if extra else (i, text, own)
             if out:
                 cols = list(zip(*out))

@@ -1,12 +1,13 @@
 import hashlib
 
 import pytest
+import xxhash
 
-from leadweave.llm.piecewise_hash import _common, compare_edited, fingerprint, likeness
+from leadweave.llm.piecewise_hash import _common, compare_edited, fingerprint, likeness, with_next
 
 
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, "" if r[0] is None else r[0], xxhash.xxh64_intdigest(r[1].encode(), 42) + (1 << 63) & (1 << 64) - 1), reverse=True)
     out = []
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -54,3 +55,20 @@ def test_common_subsequence():
 
 def test_empty(empty):
     assert compare_edited(empty).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["rows", "ids", "nulls", "strings"])
+def test_hot_keys(spark, kind):
+    """A third of the rows repeat a row, an id or a null id: results hold, and no range has much more than its share."""
+    hot = {"rows": lambda k: (77, "the same text again and again"), "ids": lambda k: (77, f"text {k} of one id"), "nulls": lambda k: (None, f"text {k} without id"), "strings": lambda k: (77, f"text {k}")}[kind]
+    rows = [hot(k) if k % 3 == 0 else (k, f"document {k} " * (k % 7)) for k in range(1500)]
+    if kind == "strings":
+        rows = [(str(i), t) for i, t in rows]
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'strings' else 'long'}, text string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        assert sorted(map(tuple, compare_edited(df).collect()), key=str) == brute(rows)
+        sizes = [r["count"] for r in with_next(df).groupBy("part").count().collect()]
+        assert max(sizes) <= 400 and (kind == "rows" or len(sizes) == 8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
