@@ -144,7 +144,7 @@ def fit(rows: DataFrame, *, train_rows: int = TRAIN_ROWS) -> TranscriptModel:
 
 
 def _key(row: tuple) -> tuple:
-    """Order of records: conversation, turn, text; nulls first."""
+    """Order of records: conversation, turn, hash of the text, a number of the row; nulls first."""
     return tuple((x is not None, x) if x is not None else (False, 0) for x in row)
 
 
@@ -239,7 +239,7 @@ def _render(model: TranscriptModel, plan: dict, schema: pa.Schema):
 def format_chats(df: DataFrame, model: TranscriptModel, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per record and turn in it: conv, turn, segment (from 0), role, given_role, starts_turn, text, rendered.
 
-    Roles come from the texts and their order alone. Records are ordered by turn, then text, nulls first; a null
+    Roles come from the texts and their order alone. Records are ordered by turn, then the text's hash, nulls first; a null
     conversation is a conversation of its own; null and empty texts are one empty line; repeated records repeat. A record that
     holds several speakers gives a row for each of their turns. The rendered rows of a conversation, joined in order, are
     its canonical form. An empty table gives an empty result; other columns play no part."""
@@ -248,21 +248,22 @@ def format_chats(df: DataFrame, model: TranscriptModel, conv_col: str = "conv_id
     n = parts(spark)
     conv_type, turn_type = df.schema[conv_col].dataType, df.schema[turn_col].dataType
     rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in ((conv_col, "conv"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))])
-    step = max(1, rows.count() // (KEYS_PER_RANGE * n))
-    sample = rows.withColumn("mark", F.xxhash64("text")).filter(F.pmod(F.xxhash64("conv", "turn", "mark"), F.lit(step)) == 0).select("conv", "turn", "mark").collect()
+    # the last part of the key tells repeated rows apart, so that they too are dealt to many ranges
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    sample = rows.filter(F.rand(11) < KEYS_PER_RANGE * n / max(1, df.count())).select("conv", "turn", "mark", "salt").collect()
     keys = sorted(_key(tuple(r)) for r in sample)
     cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = [bisect_left(cuts, _key(k)) for k in zip(*(b.column(i).to_pylist() for i in (0, 1, 4)))]
+            part = [bisect_left(cuts, _key(k)) for k in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5)))]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *b.columns], ["part", *b.schema.names])
 
-    dealt_type = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("conv", conv_type), T.StructField("turn", turn_type), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("mark", T.LongType())])
-    dealt = rows.withColumn("mark", F.xxhash64("text")).mapInArrow(deal, dealt_type).repartition(n, "part").sortWithinPartitions("part", F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "mark")
+    dealt_type = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("conv", conv_type), T.StructField("turn", turn_type), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("mark", T.LongType()), T.StructField("salt", T.LongType())])
+    dealt = rows.mapInArrow(deal, dealt_type).repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "mark", "salt")
     edge_type = "part int, conv string, none boolean, place string, matrix array<double>, begin array<double>"
     plan = _across(dealt.mapInArrow(_edges(model), edge_type).collect())
-    probe = rows.limit(0).toArrow().schema
+    probe = rows.select("conv", "turn").limit(0).toArrow().schema
     out = pa.schema([("conv", probe.field("conv").type), ("turn", probe.field("turn").type), ("segment", pa.int32()), ("role", pa.string()), ("given_role", pa.string()), ("starts_turn", pa.bool_()), ("text", pa.string()), ("rendered", pa.string())])
     out_type = T.StructType([T.StructField("conv", conv_type), T.StructField("turn", turn_type), T.StructField("segment", T.IntegerType()), T.StructField("role", T.StringType()), T.StructField("given_role", T.StringType()), T.StructField("starts_turn", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("rendered", T.StringType())])
     return dealt.mapInArrow(_render(model, plan, out), out_type)

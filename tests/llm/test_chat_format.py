@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+import xxhash
 
 from leadweave.llm.chat_format import ROLES, STATES, fit, format_chats, observe
 
@@ -69,3 +70,39 @@ def test_odd_rows(spark, model):
     assert sum(r.segment == 0 for r in out) == len(rows) and {r.role for r in out} <= set(ROLES)
     assert format_chats(df.filter("false"), model).collect() == []
     assert fit(df.filter("false").select("conv_id", "turn", "role", "text").withColumnRenamed("conv_id", "conv")).decode([(0, 1, 3, 0)])[0]
+
+
+def brute(rows, model):
+    """The records of each conversation in order, decoded at once over plain lists."""
+    out, groups = [], {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    for conv, rs in groups.items():
+        rs.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[3] is not None, 0 if r[3] is None else (xxhash.xxh64_intdigest(r[3].encode(), 42) ^ 1 << 63)))
+        seen = [(observe(line, i == 0), r, i) for r in rs for i, line in enumerate((r[3] or "").split("\n"))]
+        path = model.decode([o[0] for o, _, _ in seen])[0]
+        for state, ((_, bare), r, i) in zip(path, seen):
+            if i == 0 or state < len(ROLES):
+                out.append([conv, r[1], 0 if i == 0 else out[-1][2] + 1, ROLES[state % len(ROLES)], r[2], state < len(ROLES), bare])
+            else:
+                out[-1][6] += "\n" + bare
+    return sorted(((*x, (f"<|{x[3]}|>\n" if x[5] else "") + x[6] + "\n") for x in out), key=str)
+
+
+def test_whole_query_against_brute_force(spark, chats, model):
+    some = chats.filter("conv_id % 3 = 0").select("conv_id", "turn", "role", "text")
+    rows = [tuple(r) for r in some.collect()]
+    hot = [(5, 7, "user", "User: the same line?\nand more")] * (len(rows) // 2)
+    for given in (rows, rows + hot, [(1, k, "user", t) for k, (_, _, _, t) in enumerate(rows)]):
+        df = spark.createDataFrame(given, "conv_id long, turn long, role string, text string").repartition(3)
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        try:
+            assert sorted(map(tuple, format_chats(df, model).collect()), key=str) == brute(given, model)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_roles_of_held_out_conversations(chats):
+    learned = fit(chats.filter("conv_id % 5 <> 0").withColumnRenamed("conv_id", "conv"))
+    rows = format_chats(chats.filter("conv_id % 5 = 0"), learned).filter("segment = 0").collect()
+    assert len(rows) > 100 and sum(r.role == r.given_role for r in rows) / len(rows) > 0.9
