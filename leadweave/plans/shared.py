@@ -27,20 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.warehouse.dir").startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_leadweave"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, recorded for ``drop_paths``."""
     path = f"{shared_dir(spark)}/leadweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     for paths in _RECORDS:
         paths.append(path)
+    return path
+
+
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
