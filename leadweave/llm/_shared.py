@@ -8,9 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.plans.shared import write_shared
+from leadweave.plans.shared import shared_path, write_shared
 
-__all__ = ["arrow_limits", "crc_mod", "lower_ascii", "parts", "table", "worker_cache", "write_shared"]
+__all__ = ["arrow_limits", "crc_mod", "lower_ascii", "parts", "shared_path", "table", "worker_cache", "write_shared"]
 
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
 ARROW_BATCH_BYTES = 8 << 20

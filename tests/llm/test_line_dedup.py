@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from leadweave.llm.line_dedup import Runs, dedup_lines
+from leadweave.llm.line_dedup import Runs, dedup_lines, merge
 
 
 def key(line):
@@ -43,10 +43,27 @@ def test_levels(spark):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     owners = defaultdict(list)
     for run in runs.all():
-        for r in run.collect():
+        for r in run.plain.collect():
             owners[r.k1].append(r.owner)
     assert {k: v for k, v in owners.items()} == {k: [max(0, min(4, (k - 3) // 5))] for k in range(28)}
 
 
 def test_empty(empty):
     assert dedup_lines(empty).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    """One exchange, of the batch; none of a run, neither for the anti-joins nor for compaction; runs are not sorted again."""
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    runs = Runs(4, fan_out=3)
+    for k in range(2):
+        runs.add(spark.range(k * 50, k * 50 + 80).selectExpr("id k1", "id k2", "id owner"))
+    batch = spark.range(20, 300).selectExpr("id k1", "id k2", "id owner")
+    plan = plan_of(runs.new(batch))
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1
+    merged = merge(*[r.keys for r in runs.all()])
+    assert "Exchange" not in plan_of(merged.hint("merge")) and "Sort [" not in plan_of(merged) and merged.count() == 130
