@@ -99,6 +99,8 @@ SKETCH_BITS, SEGMENTS = 22, 64
 SLICE = 200_000
 #: Sizes of sets fall into bands of this ratio: similar sets are in the same band or neighbours.
 BAND = 1.25
+#: Words of a set's bitmap.
+BITMAP = tuple(f"bits{k}" for k in range(8))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -161,6 +163,22 @@ def shingle_ranks(texts: DataFrame, width: int) -> np.ndarray:
     return out.ravel()
 
 
+def _bitmaps(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, BITMAP): the parity of the number of shingles that fall to each of 512 bits. Two bitmaps differ in at most as many bits
+    as there are shingles in one set and not in the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.zeros((b.num_rows, len(BITMAP)), np.int64)
+            for row, t in enumerate(b.column(1)):
+                odd = np.bincount((shingle_set(t.as_py(), width) & np.uint64(64 * len(BITMAP) - 1)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+                words[row] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, k]) for k in range(len(BITMAP)))], ["id", *BITMAP])
+
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in BITMAP])
+    return texts.join(ids, "id", "left_semi").mapInArrow(run, schema)
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts' complete shingle sets have a similarity of ``least`` or more. Sets are made for the texts in pairs only."""
 
@@ -187,8 +205,9 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates are complete: similar sets meet in their prefixes (see ``prefix``), and at the first hash that they share, what
     is left of both suffices for the overlap. As rare shingles come first, what many texts share beside their own words comes too
-    late for that, and such texts are no candidates. Of the texts that meet at a hash, each is first verified with the one of smallest
-    id; then all pairs that these links have not joined yet are. So large groups of near copies cost one comparison a text.
+    late for that, and such texts are no candidates. Of the texts that meet at a hash, each is first verified with a hub, the one with
+    the fewest rarer shingles; then all pairs that these links have not joined yet are, unless bitmaps of their sets show that
+    they differ in too much. So large groups of near copies cost one comparison a text.
     Rows with null ids or without a word have no links."""
     spark = df.sparkSession
     arrow_limits(spark)
@@ -221,18 +240,25 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = F.least(size_a - F.col(f"{a}.place"), size_b - F.col(f"{b}.place"))
         return (F.least(size_a, size_b) >= least * F.greatest(size_a, size_b) - 1e-6) & (rest >= least / (1 + least) * (size_a + size_b) - 1e-6)
 
-    members = met.select("key", F.struct("id", "size", "place").alias("b"))
-    hubs = members.withColumn("a", F.first("b").over(Window.partitionBy("key").orderBy("b.id")))
-    stars = write_shared(hubs.filter((F.col("a.id") != F.col("b.id")) & fits("a", "b")).select("a.id", F.col("b.id").alias("other")).toDF("a", "b").distinct(), "near-stars")
+    # the hub of a key has the fewest shingles of its own before it: of copies of an original, the original or the one closest to it
+    members = met.select("key", F.struct("place", "id", "size").alias("b"))
+    hubs = members.withColumn("a", F.first("b").over(Window.partitionBy("key").orderBy("b")))
+    stars = write_shared(hubs.filter((F.col("a.id") != F.col("b.id")) & fits("a", "b")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "near-stars")
     links = _verified(texts, stars, width, least)
     roots = connected_components(links).select(F.col("node").alias("id"), "root")
     rooted = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = write_shared(rooted.withColumn("low", F.min("root").over(Window.partitionBy("key"))).withColumn("high", F.max("root").over(Window.partitionBy("key"))).filter("low <> high"), "near-mixed")
-    band = F.floor(F.log("size") / math.log(BAND)).cast("int")
-    side = mixed.select("key", band.alias("band"), F.struct("id", "size", "place", "root").alias("a"))
-    reach = side.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("a").alias("b"))
-    open_ = side.join(reach, ["key", "band"]).filter((F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits("a", "b"))
-    others = write_shared(open_.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "near-others")
+    at_key = Window.partitionBy("key")
+    mixed = rooted.withColumn("low", F.min("root").over(at_key)).withColumn("high", F.max("root").over(at_key)).filter("low <> high")
+    mixed = write_shared(mixed.withColumn("main", F.first("root").over(at_key.orderBy("place", "id"))).select("key", "id", "size", "place", "root", "main"), "near-mixed")
+    # one of a pair in different groups is not in the hub's group
+    marks = write_shared(_bitmaps(texts, mixed.select("id").distinct(), width), "near-bitmaps")
+    side = mixed.join(marks, "id").select("key", F.floor(F.log("size") / math.log(BAND)).cast("int").alias("band"), (F.col("root") == F.col("main")).alias("in_main"), F.struct("id", "size", "place", "root", *BITMAP).alias("a"))
+    reach = side.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("in_main").alias("b_in_main"), F.col("a").alias("b"))
+    once = F.col("b_in_main") | (F.col("a.id") < F.col("b.id"))
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in BITMAP), F.lit(0))
+    most = (1 - least) / (1 + least) * (F.col("a.size") + F.col("b.size")) + 1e-6
+    open_ = side.filter(~F.col("in_main")).join(reach, ["key", "band"]).filter(once & (F.col("a.root") != F.col("b.root")) & fits("a", "b") & (apart <= most))
+    others = write_shared(open_.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "near-others")
     return links.unionByName(_verified(texts, others, width, least))
 
 
