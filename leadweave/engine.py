@@ -182,7 +182,7 @@ class Engine:
         s = self.settings
         cfg = resolve.ResolverConfig(max_block=s.max_block, name_threshold=s.name_threshold, edge_threshold=s.edge_threshold)
         entities = resolve.resolve(records, cfg, newest).withColumn("last_resolved_at", self._now()).cache()
-        done = resolve.resolution_summary(records, entities).first().asDict()
+        done = resolve.resolution_summary(records if newest is None else records.limit(newest), entities).first().asDict()
         merged, links = store.save_entities(schemas.empty(self.spark, "resolved_entities"), schemas.empty(self.spark, "entity_links"), entities, self._now())
         self.tables.write("resolved_entities", merged)
         self.tables.write("entity_links", links)
@@ -217,7 +217,9 @@ class Engine:
         return n
 
     def seed_queries(self, queries: list[str]) -> int:
-        return self.seed([f"https://html.duckduckgo.com/html/?q={v.replace(' ', '+')}" for q in queries for v in self.expand(q)][:50])
+        """Seeds for all variants of the queries, in groups of as many as a call may bring."""
+        urls = [f"https://html.duckduckgo.com/html/?q={v.replace(' ', '+')}" for q in queries for v in self.expand(q)]
+        return sum(self.seed(urls[lo : lo + 50]) for lo in range(0, len(urls), 50))
 
     def crawl_once(self, fetch: crawl.Fetch, limit: int | None = None) -> dict[str, int]:
         return crawl.crawl_step(self.tables, fetch, self._now(), limit)

@@ -146,8 +146,8 @@ def profile(html: Column, node: Column) -> Column:
     lists = lambda path: F.coalesce(get(path, "array<string>"), F.when(get(path).isNotNull() & (get(path) != ""), F.array(get(path))), none)
     links = hrefs(html)
     mail = F.get(F.filter(links, lambda h: F.lower(h).startswith("mailto:")), F.lit(0))
-    mail = F.lower(F.trim(F.substring_index(F.substring(mail, 8, 10_000), "?", 1)))
-    tel = F.filter(F.transform(F.filter(links, lambda h: F.lower(h).startswith("tel:")), lambda h: F.trim(F.substring(h, 5, 10_000))), lambda t: t != "")
+    mail = F.lower(F.trim(F.substring_index(F.substring(mail, F.lit(8), F.length(mail)), "?", 1)))
+    tel = F.filter(F.transform(F.filter(links, lambda h: F.lower(h).startswith("tel:")), lambda h: F.trim(F.substring(h, F.lit(5), F.length(h)))), lambda t: t != "")
     return F.struct(
         F.coalesce(fill(get("$.name"), get("$.legalName"), title(html), heading(html)), F.lit("")).alias("name"),
         address.alias("address"),

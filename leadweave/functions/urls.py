@@ -60,7 +60,7 @@ def clean(url: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """``href`` as seen from ``base``, cleaned; dot segments are folded, up to eight deep."""
+    """``href`` as seen from ``base``, cleaned; dot segments are folded."""
     origin = F.regexp_extract(or_empty(base), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(origin, r"^([^:]*:)", 1)
     folder = F.regexp_replace(part(base, 2), "[^/]*$", "")
@@ -74,8 +74,10 @@ def resolve(base: Column, href: Column) -> Column:
         .otherwise(F.concat(origin, folder, h))
     )
     joined = F.regexp_replace(joined, r"/(\./)+", "/")
-    for _ in range(8):
-        joined = F.regexp_replace(joined, r"(://[^/?#]*(?:/[^?#]*)?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
+    # each step folds one pair, so as many steps as there are parent segments
+    ups = F.size(F.split(joined, r"/(?=\.\./)")) - 1
+    fold = lambda path, _: F.regexp_replace(path, r"(://[^/?#]*(?:/[^?#]*)?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
+    joined = F.when(ups > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(ups, F.lit(1))), joined, fold)).otherwise(joined)
     joined = F.regexp_replace(joined, r"(://[^/?#]*)/(?:\.\./)+", "$1/")
     return F.when((h == "") | (or_empty(base) == ""), "").otherwise(clean(joined))
 

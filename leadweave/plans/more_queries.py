@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadweave import schemas
+from leadweave.functions import dates, urls
 from leadweave.functions import html as H
 from leadweave.functions.text import cache_key
 from leadweave.operators import discovery, leads, proxies, queue, resolve, scoring, store
 from leadweave.plans import relations as R
-from leadweave.plans.lead_queries import _CC, parts
+from leadweave.plans.lead_queries import _CC, parts, view
+from leadweave.plans.lead_queries import _sql as _view_sql
 from leadweave.plans.relations import with_tables
 from leadweave.sources import catalogues, sinks
 
@@ -105,3 +107,57 @@ def _(spark, d):
 @query("prompt_keys", with_tables("raw_records", sql="SELECT id, sha256('m::' || name) AS key FROM raw_records"))
 def _(spark, d):
     return R.raw_records(spark, d).select("id", cache_key(F.lit("m"), F.col("name")).alias("key"))
+
+
+@query("entity_by_id", _CC + "SELECT cluster AS id, count(*) AS members FROM cl WHERE cluster = (SELECT min(cluster) FROM cl) GROUP BY cluster")
+def _(spark, d):
+    e = resolve.resolve(parts(spark, d))
+    first = e.agg(F.min("id")).first()[0]
+    return leads.by_id(e, first).select("id", F.size("raw_record_ids").cast("long").alias("members"))
+
+
+@query("same_site", """
+WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages)
+SELECT page_id, host <> '' AND host = regexp_replace(host, '^m\\.', '') AS same FROM h""")
+def _(spark, d):
+    """Whether a page's host is the one that its address has without a mobile prefix."""
+    p = R.table(spark, d, "pages")
+    return p.select("page_id", urls.same_site(F.col("url"), F.regexp_replace("url", r"://(www\.)?m\.", "://")).alias("same"))
+
+
+@query("timestamps", "SELECT event_id, epoch_us(ts)::DOUBLE AS at, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, NULL::DOUBLE AS fault FROM events")
+def _(spark, d):
+    """ISO text of every event's time and back, its export stamp, and null for text that is no time."""
+    e = R.table(spark, d, "events").withColumn("text", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    at = dates.iso(F.col("text"))
+    return e.select("event_id", F.unix_micros(at).cast("double").alias("at"), dates.stamp(at).alias("stamp"), F.unix_micros(dates.iso(F.concat(F.lit("x"), "text"))).cast("double").alias("fault"))
+
+
+@query("spam_extra_hosts", "SELECT page_id, regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '(^|\\.)example\\.org$') AS spam FROM pages")
+def _(spark, d):
+    """The default lists extended by a host; the tables' addresses meet none of the default ones."""
+    return R.table(spark, d, "pages").select("page_id", urls.is_directory(F.col("url"), hosts=("example.org",)).alias("spam"))
+
+
+@query("schema_version", f"SELECT 3 AS version, count(*) AS rows, count(*) FILTER (WHERE calculated = 'older') AS filled FROM (SELECT c_custkey, 'older' AS calculated FROM customer) WHERE {R.NOW} > 0")
+def _(spark, d):
+    """Records of an old schema upgraded by the ordered migrations, and the version that they reach."""
+    old = R.raw_records(spark, d).drop("calculated_age_class", "relative_age_hint")
+    new = schemas.MIGRATIONS.upgrade(old, "raw_records")
+    version = schemas.current_version(schemas.MIGRATIONS.log(spark))
+    return new.agg(F.count("*").alias("rows"), F.count_if(F.col("calculated_age_class") == "older").alias("filled")).crossJoin(F.broadcast(version)).select("version", "rows", "filled")
+
+
+@query("leads_json", _view_sql("SELECT id, name, status, priority_score::DOUBLE AS priority_score, analyzed FROM lead_view"))
+def _(spark, d):
+    """The JSON of every exported lead, read back."""
+    j = leads.detail(view(spark, d)).select(F.to_json(F.struct("*")).alias("j"))
+    get = lambda path: F.get_json_object("j", path)
+    return j.select(get("$.id").cast("long").alias("id"), get("$.name").alias("name"), get("$.status").alias("status"), get("$.priority_score").cast("double").alias("priority_score"), get("$.analysis").isNotNull().alias("analyzed"))
+
+
+@query("entities_json", _CC + "SELECT cluster AS id, count(*) AS members FROM cl GROUP BY cluster")
+def _(spark, d):
+    """The JSON of every exported entity, read back."""
+    j = resolve.resolve(parts(spark, d)).select(F.to_json(F.struct("*")).alias("j"))
+    return j.select(F.get_json_object("j", "$.id").cast("long").alias("id"), F.json_array_length(F.get_json_object("j", "$.raw_record_ids")).cast("long").alias("members"))

@@ -232,7 +232,22 @@ def _(spark, d):
     return f.select("id", F.col("s.health").alias("health"), F.col("s.state").alias("state"))
 
 
-@query("proxy_health_events")
+@query(
+    "proxy_health_events",
+    """
+WITH e AS (
+    SELECT user_id, list_prepend({'h': 100.0::DOUBLE, 'f': 0, 's': 'HEALTHY', 'ok': true},
+        list({'h': 0.0::DOUBLE, 'f': 0, 's': '', 'ok': event_type <> 'error'} ORDER BY ts, event_id)) AS steps
+    FROM events GROUP BY user_id),
+r AS (
+    SELECT user_id, list_reduce(steps, lambda a, x: CASE
+        WHEN x.ok THEN {'h': least(100.0, a.h + 5.0)::DOUBLE, 'f': 0, 'ok': true,
+            's': CASE WHEN a.h + 5.0 < 30 THEN a.s WHEN a.h + 5.0 >= 80 THEN 'HEALTHY' ELSE 'DEGRADED' END}
+        ELSE {'h': greatest(0.0, a.h - 15.0 * (a.f + 1))::DOUBLE, 'f': a.f + 1, 'ok': false,
+            's': CASE WHEN greatest(0.0, a.h - 15.0 * (a.f + 1)) < 30 THEN 'UNHEALTHY' ELSE 'DEGRADED' END} END) AS s
+    FROM e)
+SELECT user_id, s.h AS health, s.s AS state FROM r""",
+)
 def _(spark, d):
     """Health of every user as if an error were a failed request: an ordered fold of each key's own events."""
     e = R.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") != "error").alias("ok")))).alias("e"))

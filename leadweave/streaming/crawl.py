@@ -7,6 +7,7 @@ function from claimed rows to pages (id, url, depth, status, content_type, html)
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 from leadweave.functions import html as H
 from leadweave.operators import discovery, queue, store
 
+#: Held by a crawler's query while a round is in progress.
+_ROUNDS: dict[str, Lock] = {}
+
 Fetch = Callable[[DataFrame], DataFrame]
 
 
 def crawl_step(tables: store.Store, fetch: Fetch, now, limit: int | None = None) -> dict[str, int]:
-    """One round over the stored queue; returns how many rows were claimed, failed, queued and saved."""
-    spark = tables.spark
+    """One round over the stored queue; returns how many rows were claimed, failed, queued and saved.
+
+    Claims are stored before the fetch, and records before the outcomes. After a crash in between, the rows of the round are still
+    ``processing``; stale recovery returns them to the queue, and saving their records again changes nothing."""
     q, politeness, records = (tables.read(t) for t in ("crawl_queue", "domain_politeness", "raw_records"))
     q = queue.recover(q, now)
     claimed = queue.claim(q, politeness, now, limit=limit).cache()
@@ -29,6 +35,9 @@ def crawl_step(tables: store.Store, fetch: Fetch, now, limit: int | None = None)
         claimed.unpersist()
         return {"claimed": 0, "failed": 0, "queued": 0, "saved": 0}
     q, politeness = queue.after_claim(q, politeness, claimed, now)
+    tables.write("crawl_queue", q)
+    tables.write("domain_politeness", politeness)
+    q = tables.read("crawl_queue")
     pages = fetch(claimed).withColumn("block", H.block_class(F.col("status"), F.col("content_type"), F.col("html"))).cache()
     good = pages.filter(F.col("block").isNull() & (F.col("status") == 200) & F.col("html").isNotNull())
     outcomes = claimed.select("id").join(good.select("id", F.lit(True).alias("ok")), "id", "left").select("id", now.alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
@@ -37,29 +46,37 @@ def crawl_step(tables: store.Store, fetch: Fetch, now, limit: int | None = None)
     found = discovery.records_of_pages(good, now)
     added = found.select("fingerprint").distinct().join(records.select("fingerprint"), "fingerprint", "left_anti")
     result = {"claimed": n, "failed": n - good.select("id").distinct().count(), "queued": fresh.count(), "saved": added.count()}
-    tables.write("crawl_queue", q.unionByName(fresh))
-    tables.write("domain_politeness", politeness)
     tables.write("raw_records", store.save_records(records, found))
+    tables.write("crawl_queue", q.unionByName(fresh))
     pages.unpersist()
     claimed.unpersist()
-    spark.catalog.clearCache()
     return result
 
 
 def run_crawler(tables: store.Store, fetch: Fetch, checkpoint: str, interval: str = "5 seconds", limit: int | None = None, on_round: Callable[[dict[str, int]], None] | None = None) -> StreamingQuery:
     """Rounds at an interval until the query is stopped; ``stop(query)`` ends it after the round in progress."""
 
+    busy = Lock()
+
     def step(_: DataFrame, __: int) -> None:
-        done = crawl_step(tables, fetch, F.current_timestamp(), limit)
-        if on_round:
-            on_round(done)
+        with busy:
+            done = crawl_step(tables, fetch, F.current_timestamp(), limit)
+            if on_round:
+                on_round(done)
 
     ticks = tables.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    query = ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    _ROUNDS[str(query.id)] = busy
+    return query
 
 
 def stop(query: StreamingQuery, seconds: int = 10) -> bool:
+    """End the query once the round in progress has been stored, after ``seconds`` at the latest."""
+    busy = _ROUNDS.pop(str(query.id), Lock())
+    held = busy.acquire(timeout=seconds)
     query.stop()
+    if held:
+        busy.release()
     return bool(query.awaitTermination(seconds)) if query.isActive else True
 
 
