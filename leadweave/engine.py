@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from leadweave.functions.text import sanitised_query
 from leadweave.operators import discovery, leads, queue, resolve, scoring, search, store
 from leadweave.settings import Settings
 from leadweave.sources import catalogues, sinks
-from leadweave.sources.connectors import Sources
+from leadweave.sources.connectors import Sources, ask_models, holds_json
 from leadweave.streaming import crawl
 
 
@@ -27,6 +28,8 @@ class Engine:
         self.spark, self.settings, self.sources, self.clock = spark, settings or Settings(), sources or Sources(), clock
         self.tables = store.Store(spark, path)
         self.crawler = None
+        self.replies = f"{path.rstrip('/')}/model_replies"
+        self.counters = {"rounds": 0, "errors": 0, "claimed": 0, "failed": 0, "queued": 0, "saved": 0}
 
     def _now(self):
         return F.timestamp_micros(F.lit(int(self.clock().timestamp() * 1_000_000)))
@@ -55,13 +58,25 @@ class Engine:
         now = self._now()
         campaigns = store.add_campaign(self._t("discovery_campaigns"), query, wilaya, limit, now)
         self.tables.write("discovery_campaigns", campaigns)
-        found = [df for v in self.expand(query) for df in self.sources.records(self.spark, v, wilaya, discovery.over_fetch(limit))]
-        result = self.save_records(discovery.discover(found, limit)) if found else {"discovered": 0, "inserted": 0, "updated": 0, "repeated": 0}
         campaign = campaigns.orderBy(F.col("created_at").desc()).first()["id"]
-        change = self.spark.createDataFrame([(campaign, "completed", result["discovered"], result["inserted"] + result["updated"])], "id long, status string, discovered_qty int, saved_qty int")
-        self.tables.write("discovery_campaigns", store.set_campaign(self._t("discovery_campaigns"), change, now))
+
+        def close(status: str, discovered: int, saved: int) -> None:
+            change = self.spark.createDataFrame([(campaign, status, discovered, saved)], "id long, status string, discovered_qty int, saved_qty int")
+            self.tables.write("discovery_campaigns", store.set_campaign(self._t("discovery_campaigns"), change, self._now()))
+
+        try:
+            found = [df for v in self.expand(query) for df in self.sources.records(self.spark, v, wilaya, discovery.over_fetch(limit))]
+            result = self.save_records(discovery.discover(found, limit)) if found else {"discovered": 0, "inserted": 0, "updated": 0, "repeated": 0}
+        except Exception:
+            close("failed", 0, 0)
+            raise
+        close("completed", result["discovered"], result["inserted"] + result["updated"])
         return result
 
+    def discover_many(self, queries: list[str], wilaya: str | None = None, limit: int = 20) -> list[dict]:
+        """Discovery of one query after the other."""
+        return [self.discover(q, wilaya, limit) for q in queries]
+
     def campaigns(self, limit: int = 10) -> DataFrame:
         return leads.newest(self._t("discovery_campaigns"), limit)
 
@@ -152,11 +167,15 @@ class Engine:
 
     # --- analyses and scores ---
 
-    def analyse(self, again: bool = False, ids: list[int] | None = None) -> int:
+    def analyse(self, again: bool = False, ids: list[int] | None = None, caller: str | None = None) -> int:
+        """Analyse pending records, all ``again``, or some ``ids``; returns how many.
+
+        With models in the settings and a ``caller`` (``module:function``), a cached reply counts first, then the models in their order;
+        records that no model answers are analysed by rule. Replies are stored before they are used, so none is asked for twice."""
         todo = scoring.pending(self._t("raw_records"), self._t("analyses"), again or ids is not None)
         if ids is not None:
             todo = todo.join(self._ids(ids).withColumnRenamed("raw_record_id", "id"), "id", "left_semi")
-        made = scoring.analyse(todo, self._now()).cache()
+        made = (self._analyse_by_models(todo, caller) if caller and self.settings.models else scoring.analyse(todo, self._now())).cache()
         n = made.count()
         analyses, scores = store.attach_analyses(self._t("analyses"), self._t("lead_scores"), made, self._now())
         self.tables.write("analyses", analyses)
@@ -164,6 +183,17 @@ class Engine:
         made.unpersist()
         return n
 
+    def _analyse_by_models(self, todo: DataFrame, caller: str) -> DataFrame:
+        models, batch = self.settings.models, uuid4().hex
+        asked = scoring.prompts(todo)
+        held = scoring.replies(asked, models, sinks.read_cache(self.spark, self.replies))
+        answers = ask_models(asked.join(held.select("id"), "id", "left_anti"), models, caller, holds_json).filter("reply IS NOT NULL")
+        sinks.write_cache(answers.join(asked, "id").select("model", "prompt", "reply"), self.replies, batch)
+        return scoring.analyse_by_models(todo, scoring.replies(asked, models, sinks.read_cache(self.spark, self.replies)), batch, self._now())
+
+    def clear_replies(self) -> int:
+        return sinks.clear_cache(self.spark, self.replies)
+
     def score(self, ids: list[int] | None = None, points=None) -> int:
         v = self.view()
         if ids is not None:
@@ -222,11 +252,17 @@ class Engine:
         return sum(self.seed(urls[lo : lo + 50]) for lo in range(0, len(urls), 50))
 
     def crawl_once(self, fetch: crawl.Fetch, limit: int | None = None) -> dict[str, int]:
-        return crawl.crawl_step(self.tables, fetch, self._now(), limit)
+        done = crawl.crawl_step(self.tables, fetch, self._now(), limit)
+        self._count(done)
+        return done
+
+    def _count(self, done: dict[str, int]) -> None:
+        for k, v in ({"rounds": 1} | done).items():
+            self.counters[k] += v
 
     def start_crawler(self, fetch: crawl.Fetch, checkpoint: str, interval: str = "5 seconds", limit: int | None = None) -> None:
         if self.crawler is None or not self.crawler.isActive:
-            self.crawler = crawl.run_crawler(self.tables, fetch, checkpoint, interval, limit)
+            self.crawler = crawl.run_crawler(self.tables, fetch, checkpoint, interval, limit, self._count)
 
     def stop_crawler(self) -> None:
         if self.crawler is not None:
@@ -236,6 +272,10 @@ class Engine:
         rows = {r["status"]: r["n"] for r in queue.status_counts(self._t("crawl_queue")).collect()}
         return {"running": bool(self.crawler is not None and self.crawler.isActive), **{s: rows.get(s, 0) for s in schemas.QUEUE_STATES}}
 
+    def crawler_counters(self) -> dict[str, int]:
+        """Rounds, errors and rows since the engine was made."""
+        return dict(self.counters)
+
     # --- exports and health ---
 
     def export_leads_csv(self, folder: str, limit: int = 1000) -> str:

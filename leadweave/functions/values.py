@@ -19,9 +19,15 @@ def merge_confidence(n: Column) -> Column:
     return F.when(n <= 1, 1.0).otherwise(F.least(F.lit(0.99), F.lit(0.7) + F.lit(0.1) * n))
 
 
-def backoff(attempt: Column, base: float = 2.0, most: float = 60.0, factor: float = 2.0) -> Column:
-    """Seconds before a retry, without jitter: base times factor to the attempt, bounded, 0.1 at least."""
-    return F.greatest(F.lit(0.1), F.least(F.lit(most), F.lit(base) * F.pow(F.lit(factor), attempt)))
+def jittered(seconds: Column, share: float, unit: Column | None = None) -> Column:
+    """Seconds moved by up to ``share`` of them to either side; ``unit`` is uniform in 0 to 1 (drawn if none is given)."""
+    return seconds * (1 + F.lit(share) * (2 * (F.rand() if unit is None else unit) - 1))
+
+
+def backoff(attempt: Column, base: float = 2.0, most: float = 60.0, factor: float = 2.0, jitter: float = 0.0, unit: Column | None = None) -> Column:
+    """Seconds before a retry: base times factor to the attempt, bounded, with jitter, 0.1 at least."""
+    wait = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(factor), attempt))
+    return F.greatest(F.lit(0.1), jittered(wait, jitter, unit) if jitter else wait)
 
 
 def proxy_health(outcomes: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.functions.text import or_empty
-from leadweave.functions.values import clamp
+from leadweave.functions.text import cache_key, or_empty
+from leadweave.functions.values import SOLUTIONS, analysis_of, clamp, tolerant_json
 from leadweave.sources.catalogues import SERVICES
 
 # Points of the score.
@@ -103,7 +104,38 @@ def pending(records: DataFrame, analyses: DataFrame, again: bool = False) -> Dat
 
 def with_cached_replies(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     """Prompts (id, model, prompt) with the cached reply, null where there is none. The cache is partitioned by the key's shard."""
-    from leadweave.functions.text import cache_key
-
     keyed = prompts.withColumn("key", cache_key(F.col("model"), F.col("prompt"))).withColumn("shard", F.substring("key", 1, 2))
     return keyed.join(cache.select("shard", "key", "reply"), ["shard", "key"], "left")
+
+
+#: What a model is told of a record.
+PROMPT_FIELDS = ("name", "industry", "wilaya", "address", "website", "phone", "email", "social_media_handles", "rating", "review_count")
+ASK = (
+    "Say what this business needs. Answer with one JSON object that has the keys pain_points and pitch_angles (lists of texts), recommended_solutions "
+    "(a list of objects with service_name, justification, estimated_value_usd and priority from 1 to 10), digital_presence_score (0 to 100) and "
+    "estimated_monthly_revenue_usd (a number or null).\n"
+)
+
+
+def prompts(records: DataFrame, fields: Sequence[str] = PROMPT_FIELDS) -> DataFrame:
+    """(id, prompt): the question about each record."""
+    return records.select("id", F.concat(F.lit(ASK), F.to_json(F.struct(*fields))).alias("prompt"))
+
+
+def replies(asked: DataFrame, models: Sequence[str], cache: DataFrame) -> DataFrame:
+    """Prompts (id, prompt) with a cached reply: (id, model, reply, batch) of the first model in order that has one."""
+    every = asked.select("id", F.posexplode(F.array(*map(F.lit, models))).alias("rank", "model"), "prompt")
+    held = with_cached_replies(every, cache.select("shard", "key", F.struct("reply", "batch").alias("reply"))).filter("reply IS NOT NULL")
+    first = held.groupBy("id").agg(F.min(F.struct("rank", "model", "reply")).alias("x"))
+    return first.select("id", "x.model", "x.reply.reply", "x.reply.batch")
+
+
+def analyse_by_models(records: DataFrame, answers: DataFrame, batch: str, now: Column) -> DataFrame:
+    """Analysis rows of records from replies (id, model, reply, batch); by rule where there is none, or none that is an object
+    with a presence of 0 to 100. Replies of another batch than this one are from the cache."""
+    parsed = answers.withColumn("__v", tolerant_json(F.col("reply"))).withColumn("__a", analysis_of(F.col("__v")))
+    parsed = parsed.filter(F.schema_of_variant("__v").startswith("OBJECT") & F.col("__a.digital_presence_score").between(0, 100))
+    parsed = parsed.select(F.col("id").alias("raw_record_id"), "__a", F.col("model").alias("__model"), (F.col("batch") != batch).alias("__held"))
+    made = analyse(records, now).withColumn("recommended_solutions", F.col("recommended_solutions").cast(SOLUTIONS)).join(parsed, "raw_record_id", "left")
+    by_model = {f: F.col(f"__a.{f}") for f in ("pain_points", "recommended_solutions", "digital_presence_score", "pitch_angles", "estimated_monthly_revenue_usd")} | {"analysis_model": F.col("__model"), "from_cache": F.col("__held")}
+    return made.select("raw_record_id", *[F.when(F.col("__model").isNotNull(), c).otherwise(F.col(f)).alias(f) for f, c in by_model.items()], "analyzed_at")

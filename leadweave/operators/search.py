@@ -1,8 +1,8 @@
 """Full-text search with BM25 over a record's name, industry, region, address and e-mail.
 
 Terms are folded to plain lower-case letters. A query's words must all occur; ``word*`` matches by prefix, ``"two words"`` as
-a phrase. Postings are filtered by the query's terms before anything is joined or grouped, so cost follows their
-postings, not the corpus; the corpus-wide figures are one row.
+a phrase. Every record is tokenised by each search, as no index is stored; only postings of the query's terms, and one length
+a record, are exchanged. The corpus-wide figures are one row.
 """
 
 from __future__ import annotations
@@ -54,8 +54,8 @@ def search(records: DataFrame, query: str) -> DataFrame:
     """(id, score) of the records that match all of a query; an empty query matches none."""
     wanted = parse_query(query)
     posts = postings(records)
-    lengths = posts.groupBy("id").agg(F.count("*").alias("len"))
-    corpus = records.agg(F.count("*").alias("docs")).crossJoin(posts.agg(F.count("*").alias("tokens")))
+    lengths = records.select("id", sum((F.size(terms(F.col(f))) for f in FIELDS), F.lit(0)).cast("long").alias("len"))
+    corpus = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
     hits = None
     for k, phrase in enumerate(wanted):
         same = lambda w, prefix: F.col("term").startswith(w) if prefix else F.col("term") == w

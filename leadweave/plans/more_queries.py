@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadweave import schemas
-from leadweave.functions import dates, urls
+from leadweave.functions import dates, urls, values
 from leadweave.functions import html as H
 from leadweave.functions.text import cache_key
 from leadweave.operators import discovery, leads, proxies, queue, resolve, scoring, store
@@ -14,6 +14,7 @@ from leadweave.plans.lead_queries import _CC, parts, view
 from leadweave.plans.lead_queries import _sql as _view_sql
 from leadweave.plans.relations import with_tables
 from leadweave.sources import catalogues, sinks
+from leadweave.sources.connectors import ask_models, holds_json
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -161,3 +162,40 @@ def _(spark, d):
     """The JSON of every exported entity, read back."""
     j = resolve.resolve(parts(spark, d)).select(F.to_json(F.struct("*")).alias("j"))
     return j.select(F.get_json_object("j", "$.id").cast("long").alias("id"), F.json_array_length(F.get_json_object("j", "$.raw_record_ids")).cast("long").alias("members"))
+
+
+def canned_reply(model: str, prompt: str) -> str | None:
+    """A caller for the query below, by the id in the prompt: the first model fails, talks, or answers; the second one answers some."""
+    i = int(prompt.rsplit('"id":', 1)[1].split(",")[0].rstrip("}"))
+    answer = '{"digital_presence_score": %d, "pain_points": ["p"], "recommended_solutions": [{"service_name": "s", "priority": 3}, {"priority": 1}]}' % (i % 120)
+    if i % 6 == 4:
+        raise ConnectionError(model)
+    if i % 6 == 3:
+        return f"```json\n{answer}\n```" if model == "m1" else None
+    return "no JSON" if model == "m1" else f"Here it is: {answer}" if i % 6 == 2 else None
+
+
+@query("model_chain", with_tables("raw_records", sql="""
+@ c AS (SELECT id, CASE id % 6 WHEN 0 THEN 'm1' WHEN 1 THEN 'm2' WHEN 2 THEN 'm2' WHEN 3 THEN 'm1' END AS model, id % 6 < 2 AS held FROM raw_records),
+u AS (SELECT id, model, held, CASE WHEN held THEN id % 101 ELSE id % 120 END AS presence FROM c WHERE model IS NOT NULL)
+SELECT r.id, coalesce(u.model, 'heuristic-fallback') AS model, coalesce(u.held, false) AS from_cache, u.presence AS presence, CASE WHEN u.id IS NULL THEN NULL WHEN u.held THEN 0 ELSE 1 END AS solutions
+FROM raw_records r LEFT JOIN u ON u.id = r.id AND u.presence <= 100"""))
+def _(spark, d):
+    """Analyses by cached replies, then by the models in their order, then by rule; presence and solutions of those by a model."""
+    r, models = R.raw_records(spark, d), ("m1", "m2")
+    asked = scoring.prompts(r, ("name", "id"))
+    known = asked.filter("id % 6 < 2").select(F.when(F.col("id") % 6 == 0, "m1").otherwise("m2").alias("model"), "prompt", F.concat(F.lit('{"digital_presence_score": '), F.col("id") % 101, F.lit("}")).alias("reply"))
+    cache = sinks.cache_rows(known).withColumn("batch", F.lit("before"))
+    missing = asked.join(scoring.replies(asked, models, cache).select("id"), "id", "left_anti")
+    got = ask_models(missing, models, f"{__name__}:canned_reply", holds_json).filter("reply IS NOT NULL").join(asked, "id")
+    cache = cache.unionByName(sinks.cache_rows(got).withColumn("batch", F.lit("now")))
+    a = scoring.analyse_by_models(r, scoring.replies(asked, models, cache), "now", R.now())
+    by_model = F.col("analysis_model") != scoring.MODEL
+    return a.select(F.col("raw_record_id").alias("id"), F.col("analysis_model").alias("model"), "from_cache", F.when(by_model, F.col("digital_presence_score")).alias("presence"), F.when(by_model, F.size("recommended_solutions")).alias("solutions"))
+
+
+@query("backoff_jitter", "SELECT event_id, round(greatest(0.1, least(60.0, 2.0 * pow(2, event_id % 7)) * (1 + 0.25 * (2 * (event_id % 1000) / 1000.0 - 1)))::DOUBLE, 6) AS wait FROM events")
+def _(spark, d):
+    """The wait before each event's retry, its jitter drawn from the event's number."""
+    e = R.table(spark, d, "events").select("event_id")
+    return e.select("event_id", F.round(values.backoff(F.col("event_id") % 7, jitter=0.25, unit=(F.col("event_id") % 1000) / 1000), 6).alias("wait"))

@@ -7,6 +7,10 @@ is fetched again by Spark.
 
 from __future__ import annotations
 
+import json
+import random
+import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 from importlib import import_module
 
@@ -15,10 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from leadweave.functions import urls
+
 # End points of the search engine and the map services, rows of a page of results.
 SEARCH_URL = "https://html.duckduckgo.com/html/"
 MAP_URLS = ("https://overpass-api.de/api/interpreter", "https://overpass.kumi.systems/api/interpreter")
 PAGE_ROWS = 30
+# Fixed value: the class of a result's link.
+RESULT = "result__a"
 
 
 def resolve_function(name: str) -> Callable:
@@ -26,13 +34,16 @@ def resolve_function(name: str) -> Callable:
     return getattr(import_module(module), attribute)
 
 
-class _Page(InputPartition):
-    def __init__(self, query: str, page: int):
-        self.query, self.page = query, page
+class _Pages(InputPartition):
+    def __init__(self, query: str, pages: range):
+        self.query, self.pages = query, pages
 
 
 class SearchPages(DataSource):
-    """``format("search_pages")``: option ``queries`` (newline-separated), ``pages`` and ``fetcher``; rows (query, page, html)."""
+    """``format("search_pages")``: option ``queries`` (newline-separated), ``pages`` and ``fetcher``; rows (query, page, html).
+
+    With option ``rows``, a query is one partition: its pages are asked for in order, up to the first that fails or shows no result,
+    or until that many results are seen. Without, every page is a partition of its own and all are asked for."""
 
     @classmethod
     def name(cls) -> str:
@@ -48,15 +59,23 @@ class SearchPages(DataSource):
 class _SearchReader(DataSourceReader):
     def __init__(self, options):
         self.queries = [q for q in options.get("queries", "").split("\n") if q.strip()]
-        self.pages, self.fetcher = int(options.get("pages", 1)), options["fetcher"]
+        self.pages, self.rows, self.fetcher = int(options.get("pages", 1)), int(options.get("rows", 0)), options["fetcher"]
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [_Page(q, p) for q in self.queries for p in range(self.pages)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        html = resolve_function(self.fetcher)(SEARCH_URL, {"q": partition.query, "s": partition.page * PAGE_ROWS})
-        if html is not None:
-            yield partition.query, partition.page, html
+        if self.rows:
+            return [_Pages(q, range(self.pages)) for q in self.queries]
+        return [_Pages(q, range(p, p + 1)) for q in self.queries for p in range(self.pages)]
+
+    def read(self, partition: _Pages) -> Iterator[tuple]:
+        fetch, seen = resolve_function(self.fetcher), 0
+        for page in partition.pages:
+            html = fetch(SEARCH_URL, {"q": partition.query, "s": page * PAGE_ROWS})
+            seen += html.count(RESULT) if html else 0
+            if html is None or (self.rows and RESULT not in html):
+                return
+            yield partition.query, page, html
+            if self.rows and seen >= self.rows:
+                return
 
 
 class MapResponses(DataSource):
@@ -108,30 +127,80 @@ class Sources:
         return [f(spark, query, wilaya, limit) for f in self.known.values()]
 
 
-def fetch_pages(targets: DataFrame, fetcher: str) -> DataFrame:
-    """Rows (id, url, depth) with what a fetcher gives for each URL: (status, content_type, html), nulls on failure."""
+class HostGap:
+    """Waits until a host's last visit is ``seconds`` ago, moved by up to ``jitter`` of them to either side."""
+
+    def __init__(self, seconds: float, jitter: float = 0.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.seconds, self.jitter, self.clock, self.sleep, self.last = seconds, jitter, clock, sleep, {}
+
+    def wait(self, host: str) -> None:
+        gap = self.seconds * (1 + self.jitter * random.uniform(-1, 1))
+        left = self.last.get(host, -gap) + gap - self.clock() if host in self.last else 0
+        if left > 0:
+            self.sleep(left)
+        self.last[host] = self.clock()
+
+
+def fetch_pages(targets: DataFrame, fetcher: str, delay: float = 0.0, jitter: float = 0.0, at_once: int | None = None, gate: bool = False) -> DataFrame:
+    """Rows (id, url, depth) with what a fetcher gives for each URL: (status, content_type, html), nulls on failure.
+
+    With a ``delay`` all URLs of a host go to one task, which keeps that gap between them; ``at_once`` bounds the tasks. With the
+    ``gate``, directories and spam are not asked for at all: their rows have nulls."""
     schema = "id long, url string, depth int, status int, content_type string, html string"
+    asked = targets.select("id", "url", "depth", (urls.is_directory(F.col("url")) if gate else F.lit(False)).alias("skip"), urls.host(F.col("url")).alias("host"))
+    if delay or at_once:
+        asked = asked.repartition(at_once, "host") if at_once else asked.repartition("host")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fetch = resolve_function(fetcher)
+        fetch, gap = resolve_function(fetcher), HostGap(delay, jitter)
+
+        def one(url, skip, host):
+            if skip:
+                return None, None, None
+            if delay:
+                gap.wait(host)
+            return fetch(url, None) or (None, None, None)
+
         for f in frames:
-            got = [fetch(u, None) or (None, None, None) for u in f["url"]]
+            got = [one(*x) for x in zip(f["url"], f["skip"], f["host"])]
             out = f[["id", "url", "depth"]].copy()
             out["status"], out["content_type"], out["html"] = (pd.Series(c, index=f.index, dtype=object) for c in zip(*got)) if got else (None, None, None)
             yield out
 
-    return targets.select("id", "url", "depth").mapInPandas(run, schema)
+    return asked.mapInPandas(run, schema)
+
+
+def holds_json(reply: str) -> bool:
+    """Whether a reply is JSON: without a code fence, or its outermost object or list."""
+    t = reply.strip()
+    if t.startswith("```"):
+        t = re.sub(r"```$", "", re.sub(r"^```[^\n]*\n", "", t)).strip()
+    for part in (t, *(m.group() for p in (r"\{.*\}", r"\[.*\]") if (m := re.search(p, t, re.S)))):
+        try:
+            json.loads(part)
+            return True
+        except ValueError:
+            continue
+    return False
 
 
-def ask_models(prompts: DataFrame, models: Sequence[str], caller: str) -> DataFrame:
-    """Prompts (id, prompt) with the first model's reply that is not None: columns model and reply, null where all fail.
+def ask_models(prompts: DataFrame, models: Sequence[str], caller: str, accept: Callable[[str], bool] = lambda reply: True) -> DataFrame:
+    """Prompts (id, prompt) with the first model's reply that is not None and accepted: columns model and reply, null where all fail.
 
-    ``caller`` names a function (model, prompt) -> text or None."""
+    ``caller`` names a function (model, prompt) -> text or None; a call that raises is one that fails."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = resolve_function(caller)
+
+        def one(model, prompt):
+            try:
+                reply = call(model, prompt)
+            except Exception:
+                return None
+            return reply if reply is not None and accept(reply) else None
+
         for f in frames:
-            got = [next(((m, r) for m in models if (r := call(m, p)) is not None), (None, None)) for p in f["prompt"]]
+            got = [next(((m, r) for m in models if (r := one(m, p)) is not None), (None, None)) for p in f["prompt"]]
             yield pd.DataFrame({"id": f["id"].to_numpy(), "model": [m for m, _ in got], "reply": [r for _, r in got]})
 
     return prompts.select("id", "prompt").mapInPandas(run, "id long, model string, reply string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadweave.functions.text import cache_key
@@ -47,5 +47,26 @@ def cache_rows(replies: DataFrame) -> DataFrame:
     return keyed.select(F.substring("key", 1, 2).alias("shard"), "key", "reply")
 
 
-def write_cache(replies: DataFrame, path: str) -> None:
-    cache_rows(replies).write.mode("append").partitionBy("shard").parquet(path)
+def write_cache(replies: DataFrame, path: str, batch: str = "") -> None:
+    """Append replies (model, prompt, reply); ``batch`` names the call that asked for them."""
+    cache_rows(replies).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("shard").parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Cache rows (shard, key, reply, batch); none yet: an empty table. Keys repeat where two calls asked at once."""
+    schema = "key string, reply string, batch string, shard string"
+    fs, at = _folder(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def clear_cache(spark: SparkSession, path: str) -> int:
+    """Delete all cached replies; returns how many there were."""
+    n = read_cache(spark, path).count()
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+    return n

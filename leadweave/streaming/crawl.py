@@ -6,8 +6,9 @@ function from claimed rows to pages (id, url, depth, status, content_type, html)
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
-from threading import Lock
+from threading import Event, Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from leadweave.functions import html as H
 from leadweave.operators import discovery, queue, store
 
-#: Held by a crawler's query while a round is in progress.
-_ROUNDS: dict[str, Lock] = {}
+#: Of each crawler's query: a lock held while a round is in progress, and whether no more rounds are to start.
+_ROUNDS: dict[str, tuple[Lock, Event]] = {}
 
 Fetch = Callable[[DataFrame], DataFrame]
 
@@ -53,30 +54,40 @@ def crawl_step(tables: store.Store, fetch: Fetch, now, limit: int | None = None)
     return result
 
 
-def run_crawler(tables: store.Store, fetch: Fetch, checkpoint: str, interval: str = "5 seconds", limit: int | None = None, on_round: Callable[[dict[str, int]], None] | None = None) -> StreamingQuery:
-    """Rounds at an interval until the query is stopped; ``stop(query)`` ends it after the round in progress."""
+def run_crawler(tables: store.Store, fetch: Fetch, checkpoint: str, interval: str = "5 seconds", limit: int | None = None, on_round: Callable[[dict[str, int]], None] | None = None, pause: float = 5.0) -> StreamingQuery:
+    """Rounds at an interval until the query is stopped; ``stop(query)`` ends it after the round in progress.
 
-    busy = Lock()
+    A round that fails is logged and told as one error; after a ``pause`` the next one recovers what it left."""
+
+    busy, ending = Lock(), Event()
 
     def step(_: DataFrame, __: int) -> None:
         with busy:
-            done = crawl_step(tables, fetch, F.current_timestamp(), limit)
+            if ending.is_set():
+                return
+            try:
+                done = crawl_step(tables, fetch, F.current_timestamp(), limit)
+            except Exception:
+                logging.getLogger(__name__).exception("a crawl round failed")
+                done = {"errors": 1}
             if on_round:
                 on_round(done)
+        if "errors" in done:
+            ending.wait(pause)
 
     ticks = tables.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     query = ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
-    _ROUNDS[str(query.id)] = busy
+    _ROUNDS[str(query.id)] = busy, ending
     return query
 
 
 def stop(query: StreamingQuery, seconds: int = 10) -> bool:
     """End the query once the round in progress has been stored, after ``seconds`` at the latest."""
-    busy = _ROUNDS.pop(str(query.id), Lock())
-    held = busy.acquire(timeout=seconds)
-    query.stop()
-    if held:
+    busy, ending = _ROUNDS.pop(str(query.id), (Lock(), Event()))
+    ending.set()
+    if busy.acquire(timeout=seconds):
         busy.release()
+    query.stop()
     return bool(query.awaitTermination(seconds)) if query.isActive else True
 
 

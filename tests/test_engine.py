@@ -10,7 +10,7 @@ from leadweave import schemas
 from leadweave.engine import Engine
 from leadweave.operators import queue
 from leadweave.settings import Settings
-from leadweave.sources.connectors import Sources, ask_models, fetch_pages, register, with_attempts
+from leadweave.sources.connectors import HostGap, Sources, ask_models, fetch_pages, register, with_attempts
 
 NOW = datetime(2025, 1, 1, 12, tzinfo=UTC)
 
@@ -156,3 +156,84 @@ def test_settings_and_migrations(spark, tmp_path):
     for n in range(4):
         e.tables.write("domain_politeness", spark.createDataFrame([(f"h{n}",)], "domain string").withColumn("last_visited_at", F.current_timestamp()))
     assert e.tables.version("domain_politeness") == 4 and e.tables.read("domain_politeness").first()["domain"] == "h3" and e.tables.compact("domain_politeness") == 5
+
+
+def few_results(url, params):
+    return results(url, params) if params["s"] < 60 else "<p>nothing</p>"
+
+
+def test_search_pages_stop(spark):
+    register(spark)
+    load = lambda rows: spark.read.format("search_pages").options(queries="a", pages=9, rows=rows, fetcher="tests.test_engine:few_results").load()
+    assert sorted(r.page for r in load(30).collect()) == [0, 1] and [r.page for r in load(1).collect()] == [0]
+
+
+def test_host_gap():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    gap = HostGap(2.0, clock=lambda: now[0], sleep=sleep)
+    for host in ("a", "b", "a", "a"):
+        gap.wait(host)
+    assert slept == [2.0, 2.0]
+
+
+def test_gate_and_gap_of_fetches(spark):
+    urls = [(1, "https://a.dz/1", 0), (2, "https://www.yelp.com/x", 0), (3, "https://a.dz/2", 0)]
+    got = fetch_pages(spark.createDataFrame(urls, "id long, url string, depth int"), "tests.test_engine:get", delay=0.01, jitter=0.5, at_once=2, gate=True).collect()
+    assert {r.id: r.status for r in got} == {1: 200, 2: None, 3: 200}
+
+
+def model(name, prompt):
+    if "Garage" in prompt:
+        raise ConnectionError(name)
+    return "busy" if name == "m1" else '{"digital_presence_score": 88, "pain_points": ["x"]}'
+
+
+def no_model(name, prompt):
+    raise AssertionError("the cache has it" if "Pharmacie" in prompt else name)
+
+
+def test_analyse_by_models(spark, tmp_path):
+    s = Sources()
+    s.add("one", source)
+    e = Engine(spark, str(tmp_path / "store"), Settings(models=("m1", "m2")), s, lambda: NOW)
+    assert [r["discovered"] for r in e.discover_many(["pharmacie", "garage"], "Oran", 10)] == [2, 2]
+    assert e.analyse(caller="tests.test_engine:model") == 2
+    rows = lambda: {(r["analysis_model"], r["from_cache"], r["digital_presence_score"] == 88) for r in e.tables.read("analyses").collect()}
+    assert rows() == {("m2", False, True), ("heuristic-fallback", False, False)}
+    assert e.analyse(again=True, caller="tests.test_engine:no_model") == 2 and rows() == {("m2", True, True), ("heuristic-fallback", False, False)}
+    assert e.clear_replies() == 1 and e.clear_replies() == 0
+    assert e.analyse(again=True, caller="tests.test_engine:no_model") == 2 and {r[0] for r in rows()} == {"heuristic-fallback"}
+
+
+def test_failed_campaign(spark, tmp_path):
+    def broken(*_):
+        raise OSError("down")
+
+    s = Sources()
+    s.add("broken", broken)
+    e = Engine(spark, str(tmp_path / "store"), sources=s, clock=lambda: NOW)
+    with pytest.raises(OSError):
+        e.discover("pharmacie")
+    assert [c["status"] for c in e.campaigns().collect()] == ["failed"]
+
+
+def test_failed_rounds_are_counted(spark, engine, tmp_path):
+    import time
+
+    engine.seed(["https://a.dz/1"])
+
+    def fail(claimed):
+        raise OSError("down")
+
+    engine.start_crawler(fail, str(tmp_path / "cp"), "1 second")
+    for _ in range(60):
+        time.sleep(1)
+        if engine.crawler_counters()["errors"]:
+            break
+    assert engine.crawler_status()["running"] and engine.crawler_counters()["errors"] >= 1
+    engine.stop_crawler()
