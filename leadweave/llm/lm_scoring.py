@@ -326,7 +326,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     # a task holds one range of one kind: ranges follow the blocks, each of which sends about its own bytes
     ranges = max(2 * parts(spark), math.ceil(blocks.count() * block_bytes / RANGE_BYTES))
     sent = blocks.mapInArrow(_send(ranges), _SENT)
-    answers = write_shared(sent.repartition(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(_answer, _ANSWER), "lm-answers")
+    answers = write_shared(sent.repartitionById(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(_answer, _ANSWER), "lm-answers")
     sums = {r["kind"]: r for r in answers.filter("block = -1").groupBy("kind").agg(F.sum("seen").alias("seen"), F.sum("sum_total").alias("total"), F.sum("sum_held").alias("held")).collect()}
     # the start is no token: no text holds it, so its own count is zero and it is not among the types
     n_types, n_train, n_held = (sums[1]["seen"], sums[1]["total"], sums[1]["held"]) if 1 in sums else (0, 0, 0)
