@@ -6,6 +6,9 @@ together, and the fingerprints that meet at a variant are linked in a chain: all
 other, since each is within half of it of the variant. A variant meets at most as many fingerprints as its ball has
 members, whatever the data, so no group of the exchange can be large. Links are deduplicated, verified, and closed to
 components. Copies of one fingerprint are one node from the start.
+
+Near copies by a similarity of shingle sets (``similar_links``) meet by the same balls, of several shorter fingerprints, and are verified.
+What is similar enough but further apart than the balls reach is found by an exact search that follows.
 """
 
 from __future__ import annotations
@@ -63,17 +66,18 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def ball_masks(radius: int) -> list[int]:
-    """XOR masks with at most ``radius`` bits, as signed longs."""
-    masks = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(64), k)]
+def ball_masks(radius: int, width: int = 64) -> list[int]:
+    """XOR masks with at most ``radius`` of the lowest ``width`` bits, as signed longs."""
+    masks = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def ball_links(classes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between representatives of classes (rep, fp) whose fingerprints differ in at most ``radius`` bits."""
+def ball_links(classes: DataFrame, radius: int, width: int = 64) -> DataFrame:
+    """Links (a, b) between representatives of classes (rep, fp) whose fingerprints, of ``width`` bits, differ in at most ``radius`` bits.
+    The bits of fp above those have to be equal: they tell which of several fingerprints it is."""
     if radius % 2:
         raise ValueError("the radius has to be even: the two halves meet in the middle")
-    masks = F.array(*[F.lit(m) for m in ball_masks(radius // 2)])
+    masks = F.array(*[F.lit(m) for m in ball_masks(radius // 2, width)])
     meet = classes.select("rep", "fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "rep", "fp").repartition(parts(classes.sparkSession), "variant")
     w = Window.partitionBy("variant").orderBy("fp", "rep")
     chained = meet.select(F.lag("rep").over(w).alias("a"), F.col("rep").alias("b"), F.lag("fp").over(w).alias("fp_a"), F.col("fp").alias("fp_b"))
@@ -93,6 +97,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(reps, "fp").select("id", "fp", "component")
 
 
+#: Similarity search: fingerprints of a text, their bits, and the bits that all of a candidate's may differ in together.
+SIGNS, SIGN_BITS, FAR_BITS = 4, 32, 32
 #: Counters of the frequency sketch, and parts that they are summed in.
 SKETCH_BITS, SEGMENTS = 22, 64
 #: Rows of an Arrow batch that a task hands over at a time.
@@ -164,21 +170,32 @@ def shingle_ranks(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _bitmaps(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, BITMAP): the parity of the number of shingles that fall to each of 512 bits. Two bitmaps differ in at most as many bits
+    """(id, shingles, BITMAP): the number of shingles and, for each of 512 bits, the parity of the number that fall to it. Two bitmaps differ in at most as many bits
     as there are shingles in one set and not in the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.zeros((b.num_rows, len(BITMAP)), np.int64)
+            n, words = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, len(BITMAP)), np.int64)
             for row, t in enumerate(b.column(1)):
-                odd = np.bincount((shingle_set(t.as_py(), width) & np.uint64(64 * len(BITMAP) - 1)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+                found = shingle_set(t.as_py(), width)
+                n[row] = len(found)
+                odd = np.bincount((found & np.uint64(64 * len(BITMAP) - 1)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
                 words[row] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, k]) for k in range(len(BITMAP)))], ["id", *BITMAP])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(words[:, k]) for k in range(len(BITMAP)))], ["id", "shingles", *BITMAP])
 
-    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in BITMAP])
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("shingles", *BITMAP)])
     return texts.join(ids, "id", "left_semi").mapInArrow(run, schema)
 
 
+def _possible(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts' bitmaps do not rule out a similarity of ``least``."""
+    marks = write_shared(_bitmaps(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), "near-marks")
+    left, right = (marks.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("shingles", *BITMAP))) for c in "ab")
+    apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in BITMAP), F.lit(0))
+    most = (1 - least) / (1 + least) * (F.col("shingles_a") + F.col("shingles_b")) + 1e-6
+    return write_shared(pairs.join(right, "b").join(left, "a").filter(apart <= most).select("a", "b").distinct(), "near-possible")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts' complete shingle sets have a similarity of ``least`` or more. Sets are made for the texts in pairs only."""
 
@@ -200,18 +217,68 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> D
     return write_shared(both.mapInArrow(verify, T.StructType([T.StructField(c, of) for c in "ab"])), "near-links")
 
 
-def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:
+def short_fingerprints(text: bytes | None, width: int = 3) -> np.ndarray:
+    """SIGNS fingerprints of SIGN_BITS bits over the distinct shingles of a whole text, in 64-bit words; no words: empty.
+    Each shingle's hash is hashed anew for every 64 bits."""
+    found = shingle_set(text, width)
+    ones = np.zeros((SIGNS * SIGN_BITS // 64, 64), np.int64)
+    for at in range(0, len(found), BLOCK):
+        for k, of in enumerate(ones):
+            x = (found[at : at + BLOCK] ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            of += np.unpackbits((x ^ x >> np.uint64(31)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u8") if len(found) else np.zeros(0, np.uint64)
+
+
+def fingerprint_pairs(texts: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of texts of which one of the SIGNS fingerprints differs in at most ``radius`` bits, and all together in at
+    most FAR_BITS: each with the smallest id of its fingerprint, and those ids by their balls. Texts without a word have no pairs."""
+    signs = [f"sign{k}" for k in range(SIGNS * SIGN_BITS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [short_fingerprints(t.as_py()) for t in b.column(1)]
+            some = [i for i, x in enumerate(made) if len(x)]
+            rows = np.array([made[i] for i in some], np.uint64).reshape(-1, len(signs)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), *(pa.array(rows[:, k]) for k in range(len(signs)))], ["id", *signs])
+
+    schema = T.StructType([texts.schema["id"]] + [T.StructField(c, T.LongType()) for c in signs])
+    found = write_shared(texts.mapInArrow(run, schema), "near-fingerprints")
+    # which fingerprint it is stands above its bits
+    low = F.lit((1 << SIGN_BITS) - 1)
+    each = [F.shiftrightunsigned(signs[at // 64], at % 64).bitwiseAND(low).bitwiseOR(F.lit(at // SIGN_BITS << SIGN_BITS)) for at in range(0, SIGNS * SIGN_BITS, SIGN_BITS)]
+    members = found.select("id", F.explode(F.array(*each)).alias("fp"))
+    classes = write_shared(members.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "near-classes")
+    stars = members.join(classes.filter("n > 1"), "fp").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    met = stars.unionByName(ball_links(classes, radius, SIGN_BITS)).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (found.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in signs)) for c in "ab")
+    apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in signs), F.lit(0))
+    return write_shared(met.join(right, "b").join(left, "a").filter(apart <= FAR_BITS).select("a", "b").distinct(), "near-balls")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the links do not connect."""
+    roots = connected_components(links)
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    return pairs.join(left, "a", "left").join(right, "b", "left").filter("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
+
+
+def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """Links (a, b) between ids, each verified on complete shingle sets, that connect all texts of a similarity of ``least`` or more.
 
-    Candidates are complete: similar sets meet in their prefixes (see ``prefix``), and at the first hash that they share, what
-    is left of both suffices for the overlap. As rare shingles come first, what many texts share beside their own words comes too
-    late for that, and such texts are no candidates. Of the texts that meet at a hash, each is first verified with a hub, the one with
-    the fewest rarer shingles; then all pairs that these links have not joined yet are, unless bitmaps of their sets show that
-    they differ in too much. So large groups of near copies cost one comparison a text.
+    The first candidates are texts of which a fingerprint differs in at most ``radius`` bits. A similarity of ``least`` may mean more bits
+    in each, so an exact search follows for texts that these links do not connect: similar sets meet in their prefixes
+    (see ``prefix``), and at the first hash that they share, what is left of both suffices for the overlap. As rare shingles come
+    first, what many texts share beside their own words comes too late for that, and such texts are no candidates. Of the texts that
+    meet at a hash, each is first verified with a hub, the one with the fewest rarer shingles; then all pairs that the links so far
+    have not joined yet are, unless bitmaps of their sets show that they differ in too much. So large groups of near copies cost one
+    comparison a text.
     Rows with null ids or without a word have no links."""
     spark = df.sparkSession
     arrow_limits(spark)
     texts = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    near_fp = fingerprint_pairs(texts, radius)
+    linked = _verified(texts, _possible(texts, near_fp, width, least), width, least)
     shipped = spark.sparkContext.broadcast(shingle_ranks(texts, width))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +310,9 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the hub of a key has the fewest shingles of its own before it: of copies of an original, the original or the one closest to it
     members = met.select("key", F.struct("place", "id", "size").alias("b"))
     hubs = members.withColumn("a", F.first("b").over(Window.partitionBy("key").orderBy("b")))
-    stars = write_shared(hubs.filter((F.col("a.id") != F.col("b.id")) & fits("a", "b")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "near-stars")
-    links = _verified(texts, stars, width, least)
+    starred = hubs.filter((F.col("a.id") != F.col("b.id")) & fits("a", "b")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    stars = write_shared(_apart(starred.join(near_fp, ["a", "b"], "left_anti"), linked), "near-stars")
+    links = linked.unionByName(_verified(texts, stars, width, least))
     roots = connected_components(links).select(F.col("node").alias("id"), "root")
     rooted = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     at_key = Window.partitionBy("key")
@@ -258,7 +326,7 @@ def similar_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in BITMAP), F.lit(0))
     most = (1 - least) / (1 + least) * (F.col("a.size") + F.col("b.size")) + 1e-6
     open_ = side.filter(~F.col("in_main")).join(reach, ["key", "band"]).filter(once & (F.col("a.root") != F.col("b.root")) & fits("a", "b") & (apart <= most))
-    others = write_shared(open_.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "near-others")
+    others = write_shared(open_.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct().join(stars.unionByName(near_fp), ["a", "b"], "left_anti"), "near-others")
     return links.unionByName(_verified(texts, others, width, least))
 
 

@@ -225,3 +225,46 @@ def test_shared_passage_and_copies_around_an_original(spark):
     rows += [(1000, " ".join(words))] + [(500 + k, replaced(rng, words, 0.82, 0.86)) for k in range(40)]
     _, root = linked(spark, rows)
     assert all(root[k] == k for k in range(150)) and {root[k] for k in [1000, *range(500, 540)]} == {500}
+
+
+def brute_signs(text):
+    """Four fingerprints of 32 bits over the distinct three-word shingles."""
+    out = []
+    words = text.encode().lower().split()
+    words = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    for k in (1, 2):
+        ones = [0] * 64
+        for w in words:
+            x = (xxhash.xxh64_intdigest(w, 42) ^ k * 0x9E3779B97F4A7C15 % 2**64) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            x ^= x >> 31
+            ones = [n + (x >> b & 1) for b, n in enumerate(ones)]
+        out += [sum(1 << b for b in range(32) if 2 * ones[at + b] > len(words)) for at in (0, 32)]
+    return out
+
+
+def test_fingerprints_find_near_copies_before_the_exact_search(spark, monkeypatch):
+    """Without the exact search: near copies of which a fingerprint is in reach are one group, and no others; with it: all."""
+    import random
+
+    import leadweave.llm.simhash as S
+
+    rng = random.Random(25)
+    rows = [(-1, ""), (-2, None), (-3, " ")]
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(400)]
+        rows.append((100 * k, " ".join(words)))
+        for c in range(1, 6):
+            new = list(words)
+            new[rng.randrange(400)] = f"Other{c}"
+            rows.append((100 * k + c, " ".join(new)))
+        rows.append((100 * k + 9, replaced(rng, words, 0.84, 0.88)))
+    sets = {i: shingles(t) for i, t in rows}
+    signs = {i: brute_signs(t or "") for i, t in rows}
+    similar = [(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0]
+    apart = {(a, b): [(x ^ y).bit_count() for x, y in zip(signs[a], signs[b])] for a, b in similar}
+    reached = [p for p, n in apart.items() if min(n) <= 2 and sum(n) <= 32]
+    assert len(reached) > 400
+    assert linked(spark, rows)[1] == brute_roots(list(sets), similar) != brute_roots(list(sets), reached)
+    monkeypatch.setattr(S, "prefix", lambda hashes, ranks, least: hashes[:0])
+    assert linked(spark, rows)[1] == brute_roots(list(sets), reached)
