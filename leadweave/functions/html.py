@@ -29,6 +29,10 @@ BLOCK_PHRASES = (
     r"captcha", r"robot\s*check", r"security\s*check", r"cloudflare", r"cf-browser-verification", r"ip\s*blocked", r"access\s*denied",
     r"rate\s*limit\s*exceeded", r"request\s*blocked", r"please\s*verify\s*you\s*are\s*a\s*human", r"_dd_s\b", r"datadome",
 )
+# What RE2 takes for white space, what DuckDB's trim() takes off, and comments, scripts and styles as RE2 reads them: a long s is an s, only ASCII letters and digits end a word.
+SQL_SPACE = r"[\t\n\f\r ]"
+SQL_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+SQL_CODE = rf"(?is)<!--.*?-->|<[sſ]cript(?!\w)[^>]*>.*?</[sſ]cript{SQL_SPACE}*>|<[sſ]tyle(?!\w)[^>]*>.*?</[sſ]tyle{SQL_SPACE}*>"
 PROFILE = "struct<name:string,address:string,phones:array<string>,email:string,socials:array<string>,rating:double,reviews:int>"
 
 
@@ -54,6 +58,20 @@ def visible_text(html: Column) -> Column:
     return strip_tags(F.regexp_replace(body(html), "<[^>]+>", " "))
 
 
+def written_title(html: Column) -> Column:
+    """The title as the page has it, by the rule of page_titles' SQL: tags and entities stay, but for ``&amp;``; null: no page.
+
+    If the first opening tag has no end, no later one has."""
+    found = F.regexp_extract(F.regexp_replace(html, SQL_CODE, " "), rf"(?is)\A(?>.*?<title(?!\w))[^>]*+>(.*?)</title{SQL_SPACE}*+>", 1)
+    return F.replace(F.btrim(F.regexp_replace(found, f"{SQL_SPACE}+", " "), F.lit(SQL_BLANKS)), F.lit("&amp;"), F.lit("&"))
+
+
+def link_count(html: Column) -> Column:
+    """Number of anchors that have ``href`` in them, by the rule of page_titles' SQL; null: no page."""
+    tags = F.regexp_extract_all(F.regexp_replace(html, SQL_CODE, " "), F.lit(r"(?i)<a(?!\w)[^>]*+(?:>|\z)"), F.lit(0))
+    return F.array_size(F.filter(tags, lambda a: a.endswith(">") & a.rlike("(?i)href")))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in an opening tag: double-quoted, single-quoted or bare."""
     found = [F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{q}", 1) for q in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")]
